@@ -1,8 +1,9 @@
 """Toxicity from two class-conditional Kneser-Ney bigram models.
 
-Each class (toxic, ordinary) has discounted bigram counts that back off to its discounted unigram counts, and these to
-one continuation distribution that both classes share: in how many different contexts a word stands. Rare expressions
-have little of their own in either class, so both models give them the shared value and they cancel. Of a text the
+Each class (toxic, ordinary) has discounted bigram counts that back off to its discounted unigram counts, these to the
+discounted counts of the words' stems (first bytes), and these to one continuation distribution that both classes share: in
+how many different contexts a word stands. Rare expressions have little of their own in either class, so both models
+give them what their stem has or the shared value, and that cancels. Of a text the
 per-word log-likelihood ratio of the two models is averaged over the whole text and over the best stretches of a few
 lengths; a logistic calibration of these length-normalised ratios, fitted on rows whose counts were left out of the
 models, gives the score.
@@ -36,6 +37,7 @@ PAIRS = 200_000
 STRETCHES = (1, 4, 16)
 FLUSH = 200_000  # pairs that a task counts before it hands them on
 SHIFT = 20
+STEMS = (6, 4)  # bytes
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -43,16 +45,26 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Model:
-    """The two models as log ratios: of a word, of a context's backoff weights, and of the pairs that were seen."""
+    """The two models as log ratios: of a word or, if it is rare, of its stem; of a context's backoff weights; and of the
+    pairs that were seen."""
 
-    def __init__(self, words: list[bytes], unigram: np.ndarray, context: np.ndarray, keys: np.ndarray, pairs: np.ndarray):
+    def __init__(self, words: list[bytes], unigram: np.ndarray, context: np.ndarray, keys: np.ndarray, pairs: np.ndarray, stems: dict[bytes, float]):
         self.place = {w: i + 1 for i, w in enumerate(words)}
-        self.unigram, self.context, self.keys, self.pairs = unigram, context, keys, pairs
+        self.unigram, self.context, self.keys, self.pairs, self.stems = unigram, context, keys, pairs, stems
+
+    def rare(self, word: bytes) -> float:
+        for size in STEMS:
+            found = self.stems.get(word[:size])
+            if found is not None:
+                return found
+        return 0.0
 
     def ratios(self, found: list[bytes]) -> np.ndarray:
         place = self.place
         ids = np.fromiter((place.get(w, 0) for w in found), np.int64, len(found))
         out = self.unigram[ids].copy()
+        for i in np.nonzero(ids == 0)[0].tolist():
+            out[i] = self.rare(found[i])
         if len(ids) > 1:
             out[1:] += self.context[ids[:-1]]
             if len(self.keys):
@@ -83,14 +95,39 @@ def build(pairs: DataFrame, words: int, keep: int) -> Model:
     uni = common.stored(uni, "words")
     total = uni.agg(F.sum("t"), F.sum("o"), F.sum("contexts"), F.count(F.lit(1)), *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) for c in "to"]).first()
     n, contexts, v, types = (total[0], total[1]), total[2], total[3], (total[4], total[5])
-    table = uni.orderBy(F.desc(F.col("t") + F.col("o")), "w").limit(words).toPandas()
-    names = [bytes(x) for x in table["w"]]
+    share = (F.col("contexts") + 1) / F.lit(float(contexts + v + 1))
+
+    def smoothed(counts, k: int, kinds: int, below):
+        """Discounted counts of class k, and what they leave spread as `below` is."""
+        return (np.maximum(counts - discount[k], 0) + discount[k] * kinds * below) / max(n[k], 1)
+
+    def top_of(df: DataFrame, key: str) -> tuple[list[bytes], dict[str, np.ndarray]]:
+        got = df.orderBy(F.desc(F.col("t") + F.col("o")), key).limit(words).toPandas()
+        return [bytes(x) for x in got[key]], {c: got[c].to_numpy(float) for c in ("t", "o", "share")}
+
+    # from short stems to long ones to words: each level backs off to the one before it
+    level: dict[bytes, tuple[float, float, float]] = {}  # both classes' probabilities and the shared one
+    stems: dict[bytes, float] = {}
+    for size in [*sorted(STEMS), None]:
+        grouped = uni.withColumn("share", share)
+        if size:
+            grouped = grouped.groupBy(F.expr(f"substring(w, 1, {size})").alias("w")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("share").alias("share"))
+            grouped = common.stored(grouped, "stems")
+            kinds = grouped.agg(*[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) for c in "to"]).first()
+        else:
+            kinds = types
+        names, table = top_of(grouped, "w")
+        under = [next((level[w[:m]] for m in STEMS if (not size or m < size) and w[:m] in level), None) for w in names]
+        prob = []
+        for k, c in enumerate("to"):
+            below = np.array([s * (u[k] / u[2] if u else 1.0) for s, u in zip(table["share"], under)])
+            prob.append(smoothed(table[c], k, kinds[k], below))
+        if size:
+            ratio = np.log(prob[0]) - np.log(prob[1])
+            stems.update(zip(names, ratio.tolist()))
+            level.update({w: (a, b, s) for w, a, b, s in zip(names, *prob, table["share"])})
     place = {w: i + 1 for i, w in enumerate(names)}
-    shared = np.concatenate([[1.0], table["contexts"].to_numpy(float) + 1]) / (contexts + v + 1)
-    prob = []
-    for k, c in enumerate("to"):
-        counts = np.concatenate([[0.0], table[c].to_numpy(float)])
-        prob.append((np.maximum(counts - discount[k], 0) + discount[k] * types[k] * shared) / max(n[k], 1))
+    prob = [np.concatenate([[1.0], p]) for p in prob]
     after = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"{c}s") for c in "to"])
     after = after.orderBy(F.desc(F.col("t") + F.col("o")), "v").limit(words).toPandas()
     size, weight = np.zeros((2, len(names) + 1)), np.ones((2, len(names) + 1))
@@ -111,7 +148,7 @@ def build(pairs: DataFrame, words: int, keep: int) -> Model:
         like.append(np.where(size[k, a] > 0, count / np.maximum(size[k, a], 1), 0) + weight[k, a] * prob[k][b])
     keys = a << SHIFT | b
     order = np.argsort(keys)
-    return Model(names, np.log(prob[0]) - np.log(prob[1]), np.log(weight[0]) - np.log(weight[1]), keys[order], (np.log(like[0]) - np.log(like[1]))[order])
+    return Model(names, np.log(prob[0]) - np.log(prob[1]), np.log(weight[0]) - np.log(weight[1]), keys[order], (np.log(like[0]) - np.log(like[1]))[order], stems)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
