@@ -1,4 +1,325 @@
 """Queries over the driver's tables, with the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import catalogue, decoding, lexing, naming
+from ..operators import sinks, stats
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- SQL that counts lines another way: tokens, masks and lists in the other engine -----------------------------------
+
+_BLANK = r" \t\f\x0B"
+_STRING = r"\"[^\"\\]*(?:\\\n*[^\n]?[^\"\\]*)*(?:\"|\z)|''[^''\\]*(?:\\\n*[^\n]?[^''\\]*)*(?:''|\z)"
+_TOKENS = {
+    "c": rf"//[^\n]*|(?s:/\*.*?(?:\*/|\z))|{_STRING}|[^\"''/]+|/",
+    "#": rf"#[^\n]*|{_STRING}|[^\"''#]+",
+    "--": rf"--[^\n]*|{_STRING}|[^\"''\-]+|-",
+    ";": rf";[^\n]*|{_STRING}|[^\"'';]+",
+    "%": rf"%[^\n]*|{_STRING}|[^\"''%]+",
+    "xml": r"(?s:<!--.*?(?:-->|\z))|[^<]+|<",
+}
+
+
+def sql_lines(text: str, family: str) -> str:
+    """SQL for the list of line marks of a text: '' blank, only c comment, else code; an open last line included."""
+    plain = rf"regexp_replace(regexp_replace(t, '[^\n{_BLANK}]+', 'x', 'g'), '[{_BLANK}]+', '', 'g')"
+    block = r"replace(regexp_replace(t, '[^\n]+', '', 'g'), chr(10), 'c' || chr(10)) || 'c'"
+    if family == "xml":
+        one = f"CASE WHEN starts_with(t, '<!--') THEN {block} ELSE {plain} END"
+    else:
+        start = {"c": "//"}.get(family, family)
+        one = rf"""CASE WHEN starts_with(t, '{start}') THEN 'c' {"WHEN starts_with(t, '/*') THEN " + block if family == "c" else ""}
+                   WHEN starts_with(t, '"') OR starts_with(t, '''') THEN regexp_replace(t, '[^\n]+', 'x', 'g') ELSE {plain} END"""
+    clean = rf"regexp_replace(coalesce({text}, ''), '\r\n?', chr(10), 'g')"
+    return f"string_split(array_to_string(list_transform(regexp_extract_all({clean}, '{_TOKENS[family]}'), lambda t: {one}), ''), chr(10))"
+
+
+def sql_stats(key: str, source: str, text: str, family: str) -> str:
+    return f"""
+SELECT {key}, total, blank, comment, greatest(total - blank - comment, 0) AS code FROM (
+  SELECT {key}, CAST(len(m) - (m[-1] = '')::INT AS BIGINT) AS total,
+         CAST(len(list_filter(m, lambda x: x = '')) - (m[-1] = '')::INT AS BIGINT) AS blank,
+         CAST(len(list_filter(m, lambda x: x <> '' AND NOT contains(x, 'x'))) AS BIGINT) AS comment
+  FROM (SELECT {key}, {sql_lines(text, family)} AS m FROM {source}))"""
+
+
+def _totalled(rows: str) -> str:
+    """SQL of a report from SQL with language, total, blank and comment for each file."""
+    return f"""
+SELECT language, files, blank, comment, greatest(total - blank - comment, 0) AS code, total FROM (
+  SELECT CASE WHEN grouping(language) = 1 THEN 'Total:' ELSE language END AS language, count(*) AS files,
+         CAST(coalesce(sum(blank), 0) AS BIGINT) AS blank, CAST(coalesce(sum(comment), 0) AS BIGINT) AS comment, CAST(coalesce(sum(total), 0) AS BIGINT) AS total
+  FROM ({rows}) GROUP BY GROUPING SETS ((language), ()))"""
+
+
+# --- line statistics of the tables' texts ---------------------------------------------------------------------------
+
+
+def _named(df: DataFrame, key: str, ending: str, text: str) -> DataFrame:
+    return df.select(key, F.concat(F.lit("f"), F.col(key).cast("string"), F.lit(ending)).alias("name"), F.col(text).alias("text"))
+
+
+_PAGES = sql_stats("page_id", "pages", "html", "xml")
+
+
+@query(_totalled(f"SELECT 'HTML' AS language, * FROM ({_PAGES})"))
+def xml_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the pages as .html files; lines by language and in total."""
+    return stats.report(stats.text_stats(_named(table(spark, sf_dir, "pages"), "page_id", ".html", "html")))
+
+
+@query(f"SELECT page_id, 'HTML' AS language, total, blank, comment, code FROM ({_PAGES})")
+def xml_lines_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.text_stats(_named(table(spark, sf_dir, "pages"), "page_id", ".html", "html")).select("page_id", "language", "total", "blank", "comment", "code")
+
+
+def _by_document(ending: str, language: str, family: str, source: str, key: str, text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stats.text_stats(_named(table(spark, sf_dir, source), key, ending, text)).select(key, "language", "total", "blank", "comment", "code")
+
+    return run, f"SELECT {key}, '{language}' AS language, total, blank, comment, code FROM ({sql_stats(key, source, text, family)})"
+
+
+for _name, _args in {
+    "cstyle_doc_lines": (".c", "C", "c", "documents", "doc_id", "text"),
+    "hash_doc_lines": (".py", "Python", "#", "documents", "doc_id", "text"),
+    "percent_doc_lines": (".tex", "TeX", "%", "documents", "doc_id", "text"),
+    "dash_doc_lines": (".sql", "SQL", "--", "documents", "doc_id", "text"),
+    "semicolon_doc_lines": (".asm", "Assembly", ";", "documents", "doc_id", "text"),
+    "benchmark_lines": (".txt", "Text", "c", "benchmark", "item_id", "text"),
+    "props_lines": (".json", "JSON", "c", "events", "event_id", "props"),
+}.items():
+    QUERIES[_name], ORACLE[_name] = _by_document(*_args)
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN x = '' THEN 'blank' WHEN contains(x, 'x') THEN 'code' ELSE 'comment' END AS kind FROM (SELECT unnest(CASE WHEN m[-1] = '' THEN m[:-2] ELSE m END) AS x FROM (SELECT {sql_lines('html', 'xml')} AS m FROM pages))) GROUP BY kind")
+def page_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with its kind, then counted."""
+    each = table(spark, sf_dir, "pages").select(F.explode(lexing.lines("html", catalogue.XML)).alias("line"))
+    return each.groupBy(F.col("line.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- sources written from table columns: the counts follow from how they are written ------------------------------------
+
+
+def _rep(text: str, n):
+    return F.repeat(F.lit(text), n.cast("int"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each order: C, Python, SQL, HTML, Assembly or TeX by its key, or a name without a language."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = k % 7
+    blanks, comments = k % 4, c % 3
+    words = F.col("o_orderpriority")
+    endings = F.when(kind == 0, ".c").when(kind == 1, ".PY").when(kind == 2, ".sql").when(kind == 3, ".html").when(kind == 4, ".asm").when(kind == 5, ".tex").otherwise(".unknown")
+    body = (
+        F.when(kind == 0, F.concat(F.lit("/* head\n\n   tail */\n"), _rep("// note\r\n", comments), F.lit("int a = '\"'; // "), words, F.lit("\nchar *s = \"/* "), words, F.lit("\n\n */\";\n")))
+        .when(kind == 1, F.concat(_rep("  # note\n", comments), F.lit("a = '# "), words, F.lit("'  # x\n")))
+        .when(kind == 2, F.concat(_rep("-- note\r", comments), F.lit("select 1 - 2 -- "), words, F.lit("\n")))
+        .when(kind == 3, F.concat(_rep("<!-- note -->\n", comments), F.lit("<p>"), words, F.lit("</p><!--\n\n-->\n")))
+        .when(kind == 4, F.concat(_rep("; note\n", comments), F.lit("mov ax, bx ; "), words, F.lit("\n")))
+        .otherwise(F.concat(_rep("% note\n", comments), words, F.lit(" 50\\% of it\n")))
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("order"), k.cast("string"), endings).alias("name"), F.concat(_rep(" \t\n", blanks), body, F.lit("   ")).alias("text"))
+
+
+_WRITTEN = """
+SELECT id, CASE kind WHEN 0 THEN 'C' WHEN 1 THEN 'Python' WHEN 2 THEN 'SQL' WHEN 3 THEN 'HTML' WHEN 4 THEN 'Assembly' WHEN 5 THEN 'TeX' END AS language,
+       blanks + comments + CASE kind WHEN 0 THEN 7 WHEN 3 THEN 3 ELSE 1 END AS total,
+       blanks + CASE kind WHEN 0 THEN 1 ELSE 0 END AS blank,
+       comments + CASE kind WHEN 0 THEN 3 WHEN 3 THEN 2 ELSE 0 END AS comment
+FROM (SELECT o_orderkey AS id, o_orderkey % 7 AS kind, o_orderkey % 4 AS blanks, o_custkey % 3 AS comments FROM orders) WHERE kind < 6"""
+
+
+@query(f"SELECT id, language, total, blank, comment, total - blank - comment AS code FROM ({_WRITTEN})")
+def written_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.text_stats(_sources(spark, sf_dir)).select("id", "language", "total", "blank", "comment", "code")
+
+
+@query(f"SELECT language, files, blank, comment, code, total FROM ({_totalled(_WRITTEN)}) WHERE language <> 'Total:'")
+def lang_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.language_stats(stats.text_stats(_sources(spark, sf_dir)))
+
+
+@query(_totalled(_WRITTEN))
+def report_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.report(stats.text_stats(_sources(spark, sf_dir)))
+
+
+@query(f"SELECT files, blank, comment, code, total, language FROM ({_totalled(_WRITTEN)}) WHERE language = 'Total:'")
+def grand_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.grand_total(stats.text_stats(_sources(spark, sf_dir)))
+
+
+@query(_totalled(f"SELECT * FROM ({_WRITTEN}) WHERE id < 0"))
+def empty_input_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.report(stats.text_stats(_sources(spark, sf_dir).where("id < 0")))
+
+
+@query("SELECT count(*) AS ignored FROM orders WHERE o_orderkey % 7 = 6")
+def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ignored_count(_sources(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS id, 'order' || o_orderkey || '.unknown' AS name FROM orders WHERE o_orderkey % 7 = 6")
+def ignored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ignored(_sources(spark, sf_dir)).select("id", "name")
+
+
+@query()
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.json_report(QUERIES["report_with_total"](spark, sf_dir))
+
+
+@query(f"SELECT id, language, total, blank, comment, total - blank - comment AS code FROM ({_WRITTEN})")
+def written_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sources as bytes: UTF-8, with a mark, and as UTF-16 of both orders."""
+    files = _sources(spark, sf_dir)
+    k = F.col("id") % 4
+    wide = F.encode("text", "UTF-16LE")
+    content = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), wide)).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+    return stats.content_stats(files.select("id", "name", content.alias("content"))).select("id", "language", "total", "blank", "comment", "code")
+
+
+# --- names, styles, encodings ---------------------------------------------------------------------------------------
+
+#: Endings and the languages of names that end so.
+ENDINGS = (
+    (".c", "C"),
+    (".C", "C"),
+    (".F", "Fortran 77/Forth"),
+    (".FOR", "Fortran 77/Forth"),
+    (".p", "Prolog"),
+    (".build", "Bazel"),
+    (".am", "make"),
+    (".inc", "PHP/Pascal/Fortran"),
+    (".rst.txt", "reStructuredText"),
+    (".txt", "Text"),
+    (".pom.xml", "Maven"),
+    (".build.xml", "Ant"),
+    (".web.config", "XML"),
+    (".blade.php", "Blade"),
+    (".designer.cs", "C# Designer"),
+    (".html.erb", "ERB"),
+    (".d.ts", "TypeScript/Qt Linguist"),
+    (".config.js", "JavaScript"),
+    (".b.c", "C"),
+    (".asl", "ACPI Machine Language "),
+    (".web.release.config", "XML"),
+    (".tar.gz", None),
+    (".", None),
+    ("", None),
+)
+
+
+def _literal(x: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_CASES = "CASE p_partkey % {n} {whens} END".format(n=len(ENDINGS), whens=" ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(ENDINGS))))
+
+
+@query(f"SELECT p_partkey, {_CASES.format(*(_literal(x) for _, x in ENDINGS))} AS language FROM part")
+def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part; every ending in turn, in a folder with either separator."""
+    k = F.col("p_partkey")
+    ending = F.element_at(F.array(*[F.lit(e) for e, _ in ENDINGS]), (k % len(ENDINGS) + 1).cast("int"))
+    path = F.concat(F.when(k % 2 == 0, "src/v1.c/").otherwise("src\\v1.c\\"), F.lit("part"), k.cast("string"), ending)
+    return naming.resolve(table(spark, sf_dir, "part").select("p_partkey", naming.base_name(path).alias("name"))).select("p_partkey", "language")
+
+
+@query("SELECT language, CASE WHEN regexp_matches(language, 'Python|Ruby|Perl|Shell|bash|[mM]ake|Raku|awk') THEN '#' WHEN regexp_matches(language, 'SQL|Haskell') THEN '--' WHEN regexp_matches(language, 'Lisp|Scheme|Assembly') THEN ';' WHEN regexp_matches(language, 'TeX|MATLAB|Octave|PostScript') THEN '%' WHEN regexp_matches(language, 'XML|HTML|XAML|XSLT') THEN 'xml' ELSE 'c' END AS family, count(*) AS n FROM (SELECT ['WebAssembly', 'Snakemake', 'YAML', 'R', 'zsh', 'Dockerfile', 'Visual Basic/TeX/Apex Class', 'Ruby HTML', 'FXML', 'Oracle PL/SQL', 'sql', 'CMake'][CAST(p_partkey % 12 AS INT) + 1] AS language FROM part) GROUP BY language")
+def family_of_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("WebAssembly", "Snakemake", "YAML", "R", "zsh", "Dockerfile", "Visual Basic/TeX/Apex Class", "Ruby HTML", "FXML", "Oracle PL/SQL", "sql", "CMake")
+    language = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select(language.alias("language"))
+    return parts.select("language", naming.style("language").alias("family")).groupBy("language", "family").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Contents in hexadecimal, their mark, whether they are text, and their lines.
+CONTENTS = (
+    ("EFBBBF780A", "utf-8", True, 1),
+    ("EFBBBF", "utf-8", True, 0),
+    ("EFBB", "none", True, 1),
+    ("FFFE", "utf-16-le", True, 0),
+    ("FFFE61000A00", "utf-16-le", True, 1),
+    ("FEFF0061000A", "utf-16-be", True, 1),
+    ("FFFE61", "utf-16-le", False, 0),
+    ("6100620A", "none", False, 0),
+    ("61000A00", "none", False, 0),
+    ("FFFE000061000000", "utf-16-le", False, 0),
+    ("", "none", True, 0),
+    ("FF0A80", "none", True, 2),
+)
+
+
+@query("SELECT s_suppkey, mark, n FROM supplier JOIN (VALUES " + ", ".join(f"({i}, '{m}', CAST({n} AS BIGINT))" for i, (_, m, _, n) in enumerate(CONTENTS)) + f") AS v(i, mark, n) ON s_suppkey % {len(CONTENTS)} = i")
+def bom_and_binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("s_suppkey") % len(CONTENTS) + 1).cast("int")
+    content = F.unhex(F.element_at(F.array(*[F.lit(c[0]) for c in CONTENTS]), k))
+    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name"), content.alias("content"))
+    marked = files.withColumn("mark", decoding.bom("content"))
+    return stats.content_stats(marked).select("s_suppkey", "mark", F.col("total").alias("n"))
+
+
+#: Texts with special line ends, their style, and total, blank and comment lines.
+TEXTS = (
+    ("a\r\nb\rc\n", "c", 3, 0, 0),
+    ("\r\r\n\n", "c", 3, 3, 0),
+    ("/*\n", "c", 2, 0, 2),
+    ("/*", "c", 1, 0, 1),
+    ("/*/\nx\n", "c", 3, 0, 3),
+    ("/* a /*/\nx\n", "c", 2, 0, 1),
+    ("*/* a\nb */\n", "c", 2, 0, 1),
+    ('"a\n\n  \n// still\n"\n', "c", 5, 1, 0),
+    ("it's\n// c\n", "c", 2, 0, 0),
+    ('"\\\n"x\n// c\n', "c", 3, 0, 0),
+    ("/* a\n   ", "c", 2, 0, 2),
+    ("   ", "c", 0, 0, 0),
+    ("<!-->\nx\n", "xml", 3, 0, 3),
+    ("<!---->\n", "xml", 1, 0, 1),
+    ("# don't\n# c\n", "#", 2, 0, 2),
+    ("-- x\n- y\na--b\n", "--", 3, 0, 1),
+    ("% x\n\\% y\n", "%", 2, 0, 1),
+    ("; x\n(a) ; y\n// z\n", ";", 3, 0, 1),
+)
+
+
+@query("SELECT c_custkey, total, blank, comment FROM customer JOIN (VALUES " + ", ".join(f"({i}, CAST({t} AS BIGINT), CAST({b} AS BIGINT), CAST({c} AS BIGINT))" for i, (_, _, t, b, c) in enumerate(TEXTS)) + f") AS v(i, total, blank, comment) ON c_custkey % {len(TEXTS)} = i")
+def newline_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends, open comments at the end, strings over lines: one text for each customer, in turn."""
+    k = (F.col("c_custkey") % len(TEXTS) + 1).cast("int")
+    text, family = (F.element_at(F.array(*[F.lit(t[i]) for t in TEXTS]), k) for i in (0, 1))
+    found = table(spark, sf_dir, "customer").select("c_custkey", lexing.line_stats(text, family).alias("s"))
+    return found.select("c_custkey", "s.total", "s.blank", "s.comment")
+
+
+@query()
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """This package's own sources, scanned as a directory tree."""
+    import os
+
+    from ..sources import files
+
+    return stats.report(stats.file_stats(files.list_files(spark, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))))
