@@ -6,30 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    root = os.path.dirname(package)
-    path = os.path.join(tempfile.mkdtemp(), "loomline_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+from ..runtime import ship  # noqa: F401  the operators take it from here
 
 
 def shared_dir(spark: SparkSession) -> str:
