@@ -9,7 +9,7 @@ from .catalogue import _LOWER, _UPPER, STYLE_RULES, C, Catalogue, default
 
 
 def base_name(path: Column | str) -> Column:
-    """What follows the last / or \; the whole path if it ends in one."""
+    """What follows the last slash or backslash; the whole path if it ends in one."""
     path = F.col(path) if isinstance(path, str) else path
     last = F.regexp_extract(path, r"[^\\/]+\z", 0)
     return F.when(last == "", path).otherwise(last)
