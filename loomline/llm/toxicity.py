@@ -13,7 +13,7 @@ their identifier, and keep the WORDS most frequent words and PAIRS most frequent
 
 Cases: null and empty texts score by the calibration's value for no evidence. Null labels and labels without a document
 are ignored; of repeated labels of a document the toxic one counts. Without learning rows of both classes every score is
-the toxic share (0 without labels). Repeated rows score alike. Clashing column names of the input are replaced.
+the toxic share of the labels (near 0 without labels). Repeated rows score alike. Clashing column names of the input are replaced.
 """
 
 from __future__ import annotations
@@ -184,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", text:
     sample = common.stored(parts[0].union(parts[1]).withColumn("count_it", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) > 0), "sample")
     chosen = docs.select(F.col(doc_id).alias("id"), common.utf8(text).alias("body")).join(F.broadcast(sample), "id").select("id", "body", "toxic", "count_it")
     chosen = common.stored(chosen, "texts")
+    if len(chosen.where("count_it").select("toxic").distinct().collect()) < 2:
+        return None, constant
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
