@@ -11,6 +11,8 @@ counted. A shard returns a spanning forest of the links it saw, not the pairs, s
 group of thousands of near copies, and no connection between different texts is lost. Components of the forests come
 from large-star and small-star rounds, each written to the shared folder.
 
+Groups by similarity, where the radius would be too large for such a tree, are in loomline.llm.near.
+
 Cases: null and empty texts and texts of white space have the fingerprint zero, linked like any other; texts of fewer
 words than a shingle are one shingle. Repeated rows have equal fingerprints. Rows with null doc_id belong to their
 component, whose id is the smallest doc_id in it (null if there is none). Empty tables give empty results.
