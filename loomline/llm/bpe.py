@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,8 @@ from pyspark.sql import types as T
 from . import common
 
 END = "\0"  # stands for the end-of-word mark while matching
-CACHE = 300_000  # chunks that a worker remembers
+CACHE = 500_000  # chunks that a worker remembers
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_letters() -> list[str]:
@@ -39,6 +42,11 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+
+
 class Bpe:
     """Tables of one tokenizer file and the encoder over them."""
 
@@ -87,7 +95,7 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(n) for n in names])]).tolist()
         self.slices = [self.all_text[a:b] for a, b in zip(self.offsets, self.offsets[1:])]
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks = Remembered()
         pattern = next(x["pattern"]["Regex"] for x in d["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -152,7 +160,7 @@ class Bpe:
         text, out = raw.decode("utf-8", "replace"), []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
-                out.append(np.uint32(self.special[part]).tobytes())
+                out.append(packed([self.special[part]]))
                 continue
             part = unicodedata.normalize("NFC", part)
             part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
@@ -161,12 +169,13 @@ class Bpe:
                     if len(self.words) > CACHE:
                         self.words.clear()
                     letters = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
-                    ids = self.words[w] = np.array(self.word(letters), "<u4").tobytes()
+                    ids = self.words[w] = packed(self.word(letters))
                 out.append(ids)
         return b"".join(out)
 
     def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(encode_cached(text, self.chunks, self._learn), "<u4")
+        # no pre-token spans ASCII white space, so chunks between it can be encoded alone
+        return np.frombuffer(self.chunks.joined(text.split(), self._learn), "<u4")
 
     def _learn(self, missing: list[bytes]) -> list[bytes]:
         return [self.chunk(c) for c in missing]
@@ -176,25 +185,34 @@ class Bpe:
         return " ".join(map(self.slices.__getitem__, ids))
 
 
-def encode_cached(text: bytes, cache: dict[bytes, bytes], learn) -> bytes:
-    """Ids of a text, chunk by chunk; no pre-token spans ASCII white space, so chunks can be encoded alone."""
-    chunks = text.split()
-    try:
-        return b"".join(map(cache.__getitem__, chunks))
-    except KeyError:
-        pass
-    missing = list(set(chunks).difference(cache)) if len(chunks) > len(cache) else [c for c in set(chunks) if c not in cache]
-    found = dict(zip(missing, learn(missing)))
-    if len(cache) + len(found) > CACHE:
-        out = b"".join([cache[c] if c in cache else found[c] for c in chunks])
-        cache.clear()
-        for c, v in found.items():
-            if len(cache) >= CACHE:
-                break
-            cache[c] = v
+class Remembered:
+    """Ids of the chunks that were met last: two generations of CACHE / 2 each, so chunks in use stay."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def joined(self, chunks: list[bytes], learn) -> bytes:
+        """The ids of chunks one after the other; learn gives those of a list of unknown ones."""
+        young, old = self.young, self.old
+        try:
+            return b"".join(map(young.__getitem__, chunks))
+        except KeyError:
+            pass
+        missing = []
+        for c in set(chunks):
+            if c not in young:
+                known = old.get(c)
+                if known is None:
+                    missing.append(c)
+                else:
+                    young[c] = known
+        if missing:
+            young.update(zip(missing, learn(missing)))
+        out = b"".join(map(young.__getitem__, chunks))
+        if len(young) > CACHE // 2:
+            self.young, self.old = {}, young
         return out
-    cache.update(found)
-    return b"".join(map(cache.__getitem__, chunks))
 
 
 _models: dict[str, Bpe] = {}

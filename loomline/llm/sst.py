@@ -19,9 +19,11 @@ side, in the order of their texts; an empty table gives no shard. Other columns
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import posixpath
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -192,8 +194,13 @@ class Reader:
 class Library:
     """The tokenizers library, asked once for each distinct chunk of text.
 
-    Its pre-tokens never span ASCII white space, and ASCII case and a tail of full stops or commas behind an ASCII letter
-    change nothing but their own pre-tokens, so whole texts are put together from the ids of their chunks."""
+    Under the normalizer and pre-tokenizer of FORM, pre-tokens never span ASCII white space, and ASCII case and a tail of
+    full stops or commas behind an ASCII letter change nothing but their own pre-tokens, so whole texts are put together from the ids
+    of their chunks; a chunk that is one run of letters is one pre-token, and goes to the library's model without the
+    steps before it. With any other tokenizer whole texts are encoded."""
+
+    #: Types of the normalizers and pre-tokenizers.
+    FORM = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -203,12 +210,26 @@ class Library:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.marks = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
-        self.open = {m[:2] for m in self.marks}
-        self.chunks: dict[bytes, bytes] = {}
+        self.open = os.path.commonprefix(self.marks) if self.marks else b"\0"  # a chunk without it holds no mark
+        d = json.loads(spec)
+        steps = tuple([x["type"] for x in (d.get(a) or {}).get(b, [])] for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.in_chunks = steps == self.FORM
+        self.letters = bpe.byte_letters()
+        self.chunks = bpe.Remembered()
         self.cores: dict[bytes, bytes] = {}
 
+    def _pretoken(self, core: bytes) -> str | None:
+        """The one pre-token of a core that is a run of letters, in byte letters; None for other cores."""
+        if core.isalpha():
+            return core.decode().lower()
+        text = core.decode("utf-8", "replace")
+        low = text.lower()
+        if low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+            return "".join(map(self.letters.__getitem__, low.encode()))
+        return None
+
     def _split(self, chunk: bytes) -> tuple[bytes, bytes]:
-        if any(m in chunk for m in self.open):
+        if self.open in chunk:
             return chunk, b""
         low = chunk.lower()
         core = low.rstrip(b".,")
@@ -220,14 +241,23 @@ class Library:
         if len(self.cores) + len(new) > bpe.CACHE:
             self.cores.clear()
             new = list({x for p in parts for x in p if x})
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
+        tokenize, mixed = self.lib.model.tokenize, []
+        for w in new:
+            one = self._pretoken(w)
+            if one is None:
+                mixed.append(w)
+            else:
+                self.cores[w] = bpe.packed([t.id for t in tokenize(one)])
+        for a in range(0, len(mixed), 2000):
+            some = mixed[a : a + 2000]
             for w, e in zip(some, self.lib.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.cores[w] = np.array(e.ids, "<u4").tobytes()
+                self.cores[w] = bpe.packed(e.ids)
         return [self.cores[a] + (self.cores[b] if b else b"") for a, b in parts]
 
     def encode(self, text: bytes) -> bytes:
-        return bpe.encode_cached(text, self.chunks, self.learn)
+        if not self.in_chunks:
+            return np.array(self.lib.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return self.chunks.joined(text.split(), self.learn)
 
 
 _libraries: dict[int, Library] = {}

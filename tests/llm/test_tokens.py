@@ -37,6 +37,19 @@ def test_backtracking_encoder_equals_the_library(library):
         assert m.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
+def test_chunks_of_the_library_equal_whole_texts(library):
+    lib = sst.Library(open(vocabulary(TOKENIZER), "rb").read())
+    assert lib.in_chunks
+    r = random.Random(4)
+    texts = ["ÉTÉ, ÉTÉ. e\u0301 ΑΣ Σ. İ. ßẞ ŉ ﬁ Ǆ", "<|ENDOFTEXT|> <|endoftext|>. a<|x", "don't. o'ce x'S", "ab1. 1, a_b ..a a.,b,"]
+    texts += ["".join(r.choice("aeiouthsrn   'sdmlvé1.,#İΣÉ́ßA") for _ in range(r.randint(1, 60))) for _ in range(1500)]
+    for t in texts:
+        assert np.frombuffer(lib.encode(t.encode()), "<u4").tolist() == ids_of(library, t), t
+    other = sst.Library(open(vocabulary("byte_bpe_50k.json"), "rb").read())
+    assert not other.in_chunks
+    assert np.frombuffer(other.encode(b" a  b\n"), "<u4").tolist() == other.lib.encode(" a  b\n", add_special_tokens=False).ids
+
+
 def test_pair_table_holds_what_merging_gives(library):
     m = bpe.Bpe(open(vocabulary(TOKENIZER), "rb").read())
     assert len(m.size) == len(m.text) - 2  # every token is its own encoding
