@@ -101,12 +101,12 @@ def build(pairs: DataFrame, words: int, keep: int) -> Model:
         """Discounted counts of class k, and what they leave spread as `below` is."""
         return (np.maximum(counts - discount[k], 0) + discount[k] * kinds * below) / max(n[k], 1)
 
-    def top_of(df: DataFrame, key: str) -> tuple[list[bytes], dict[str, np.ndarray]]:
-        got = df.orderBy(F.desc(F.col("t") + F.col("o")), key).limit(words).toPandas()
-        return [bytes(x) for x in got[key]], {c: got[c].to_numpy(float) for c in ("t", "o", "share")}
+    def top_of(df: DataFrame, key: str, most: int) -> tuple[list[bytes], dict[str, np.ndarray]]:
+        got = df.select(key, "t", "o", "share").orderBy(F.desc(F.col("t") + F.col("o")), key).limit(most).toArrow()
+        return got[key].to_pylist(), {c: got[c].to_numpy().astype(float) for c in ("t", "o", "share")}
 
     # from short stems to long ones to words: each level backs off to the one before it
-    level: dict[bytes, tuple[float, float, float]] = {}  # both classes' probabilities and the shared one
+    levels: list[tuple[int, dict[bytes, int], np.ndarray]] = []  # places, and both classes' probabilities over the shared one
     stems: dict[bytes, float] = {}
     for size in [*sorted(STEMS), None]:
         grouped = uni.withColumn("share", share)
@@ -116,35 +116,33 @@ def build(pairs: DataFrame, words: int, keep: int) -> Model:
             kinds = grouped.agg(*[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) for c in "to"]).first()
         else:
             kinds = types
-        names, table = top_of(grouped, "w")
-        under = [next((level[w[:m]] for m in STEMS if (not size or m < size) and w[:m] in level), None) for w in names]
-        prob = []
-        for k, c in enumerate("to"):
-            below = np.array([s * (u[k] / u[2] if u else 1.0) for s, u in zip(table["share"], under)])
-            prob.append(smoothed(table[c], k, kinds[k], below))
+        names, table = top_of(grouped, "w", words)
+        lift = np.ones((2, len(names)))
+        for m, place, over in levels:  # a longer stem, found later, takes the place of a shorter one
+            at = np.fromiter((place.get(w[:m], -1) for w in names), np.int64, len(names))
+            lift[:, at >= 0] = over[:, at[at >= 0]]
+        prob = np.array([smoothed(table[c], k, kinds[k], table["share"] * lift[k]) for k, c in enumerate("to")]).reshape(2, len(names))
         if size:
-            ratio = np.log(prob[0]) - np.log(prob[1])
-            stems.update(zip(names, ratio.tolist()))
-            level.update({w: (a, b, s) for w, a, b, s in zip(names, *prob, table["share"])})
+            stems.update(zip(names, np.log(prob[0] / prob[1]).tolist()))
+            levels.append((size, {w: i for i, w in enumerate(names)}, prob / table["share"]))
     place = {w: i + 1 for i, w in enumerate(names)}
     prob = [np.concatenate([[1.0], p]) for p in prob]
     after = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"{c}s") for c in "to"])
-    after = after.orderBy(F.desc(F.col("t") + F.col("o")), "v").limit(words).toPandas()
+    after = after.orderBy(F.desc(F.col("t") + F.col("o")), "v").limit(words).toArrow()
     size, weight = np.zeros((2, len(names) + 1)), np.ones((2, len(names) + 1))
-    at = np.array([place.get(bytes(x), -1) for x in after["v"]], np.int64).reshape(-1)
+    at = np.array([place.get(x, -1) for x in after["v"].to_pylist()], np.int64)
     known = at >= 0
     for k, c in enumerate("to"):
-        count, kinds = after[c].to_numpy(float)[known], after[f"{c}s"].to_numpy(float)[known]
+        count, kinds = after[c].to_numpy().astype(float)[known], after[f"{c}s"].to_numpy().astype(float)[known]
         size[k, at[known]] = count
         weight[k, at[known]] = np.where(count > 0, discount[k] * kinds / np.maximum(count, 1), 1.0)
-    top = pairs.where(F.col("t") + F.col("o") > 1).orderBy(F.desc(F.col("t") + F.col("o")), "v", "w").limit(keep).toPandas()
-    a = np.array([place.get(bytes(x), 0) for x in top["v"]], np.int64).reshape(-1)
-    b = np.array([place.get(bytes(x), 0) for x in top["w"]], np.int64).reshape(-1)
+    top = pairs.where(F.col("t") + F.col("o") > 1).orderBy(F.desc(F.col("t") + F.col("o")), "v", "w").limit(keep).toArrow()
+    a, b = (np.array([place.get(x, 0) for x in top[c].to_pylist()], np.int64) for c in "vw")
     known = (a > 0) & (b > 0)
     a, b = a[known], b[known]
     like = []
     for k, c in enumerate("to"):
-        count = np.maximum(top[c].to_numpy(float)[known] - discount[k], 0)
+        count = np.maximum(top[c].to_numpy().astype(float)[known] - discount[k], 0)
         like.append(np.where(size[k, a] > 0, count / np.maximum(size[k, a], 1), 0) + weight[k, a] * prob[k][b])
     keys = a << SHIFT | b
     order = np.argsort(keys)
