@@ -18,6 +18,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 from . import common
 
 END = "\0"  # stands for the end-of-word mark while matching
+#: Types of the normalizers and pre-tokenizers of the tokenizers that are supported.
+FORM = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 CACHE = 500_000  # chunks that a worker remembers
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -55,6 +58,9 @@ class Bpe:
         import regex
 
         d = json.loads(spec)
+        steps = tuple([x["type"] for x in (d.get(a) or {}).get(b, [])] for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        if steps != FORM:
+            raise ValueError(f"a tokenizer with the steps {steps} is not supported, only {FORM}")
         model = d["model"]
         self.mark = model.get("end_of_word_suffix") or ""
         self.text = {i: t for t, i in model["vocab"].items()}
@@ -95,6 +101,7 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(n) for n in names])]).tolist()
         self.slices = [self.all_text[a:b] for a, b in zip(self.offsets, self.offsets[1:])]
         self.words: dict[str, bytes] = {}
+        self.open = commonprefix(list(self.special)).encode() if self.special else b"\0"  # a chunk without it holds no special token
         self.chunks = Remembered()
         pattern = next(x["pattern"]["Regex"] for x in d["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
@@ -157,6 +164,25 @@ class Bpe:
 
     def chunk(self, raw: bytes) -> bytes:
         """Ids of a piece of text without ASCII white space, as little-endian 32-bit numbers."""
+        if self.open not in raw:
+            # a run of ASCII letters is a pre-token, and full stops or commas behind it are others
+            low = raw.lower()
+            core = low.rstrip(b".,")
+            if core.isalpha():
+                ids, tail = self.known_word(core.decode()), low[len(core) :]
+                return ids + self.mixed(tail) if tail else ids
+        return self.mixed(raw)
+
+    def known_word(self, w: str) -> bytes:
+        if (ids := self.words.get(w)) is None:
+            if len(self.words) > CACHE:
+                self.words.clear()
+            letters = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
+            ids = self.words[w] = packed(self.word(letters))
+        return ids
+
+    def mixed(self, raw: bytes) -> bytes:
+        """Ids of any text, by the steps of the tokenizer."""
         text, out = raw.decode("utf-8", "replace"), []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
@@ -164,13 +190,7 @@ class Bpe:
                 continue
             part = unicodedata.normalize("NFC", part)
             part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            for w in self.pattern.findall(part):
-                if (ids := self.words.get(w)) is None:
-                    if len(self.words) > CACHE:
-                        self.words.clear()
-                    letters = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
-                    ids = self.words[w] = packed(self.word(letters))
-                out.append(ids)
+            out += map(self.known_word, self.pattern.findall(part))
         return b"".join(out)
 
     def encode(self, text: bytes) -> np.ndarray:
