@@ -28,7 +28,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -194,15 +193,12 @@ class Reader:
 class Library:
     """The tokenizers library, asked once for each distinct chunk of text.
 
-    Under the normalizer and pre-tokenizer of FORM, pre-tokens never span ASCII white space, and ASCII case and a tail of
+    Under the normalizers and pre-tokenizers of bpe.FORM, pre-tokens never span ASCII white space, and ASCII case and a tail of
     full stops or commas behind an ASCII letter change nothing but their own pre-tokens, so whole texts are put together from the ids
     of their chunks; a chunk that is one run of letters is one pre-token, and goes to the library's model without the
     steps before it. With any other tokenizer whole texts are encoded."""
 
-    #: Types of the normalizers and pre-tokenizers.
-    FORM = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
-
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, remember: int = bpe.CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -213,10 +209,11 @@ class Library:
         self.open = os.path.commonprefix(self.marks) if self.marks else b"\0"  # a chunk without it holds no mark
         d = json.loads(spec)
         steps = tuple([x["type"] for x in (d.get(a) or {}).get(b, [])] for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
-        self.in_chunks = steps == self.FORM
+        self.in_chunks = steps == bpe.FORM
         self.letters = bpe.byte_letters()
         self.chunks = bpe.Remembered()
         self.cores: dict[bytes, bytes] = {}
+        self.remember = remember
 
     def _pretoken(self, core: bytes) -> str | None:
         """The one pre-token of a core that is a run of letters, in byte letters; None for other cores."""
@@ -238,7 +235,7 @@ class Library:
     def learn(self, missing: list[bytes]) -> list[bytes]:
         parts = [self._split(c) for c in missing]
         new = list({x for p in parts for x in p if x and x not in self.cores})
-        if len(self.cores) + len(new) > bpe.CACHE:
+        if len(self.cores) + len(new) > self.remember:
             self.cores.clear()
             new = list({x for p in parts for x in p if x})
         tokenize, mixed = self.lib.model.tokenize, []
@@ -327,24 +324,30 @@ def read(spark, folder: str, shards: list[tuple[str, int, int]]) -> DataFrame:
         total += ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, end_id long"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _files(folder)
-        for frame in frames:
-            for path, start in zip(frame["path"], frame["start"]):
+        kinds = (pa.int64(),) * 5
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "start", "n_tokens", "ids_crc32", "end_id"])
+
+        for batch in batches:
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out: list[tuple] = []
                 with fs.open_input_file(path) as source:
                     reader = Reader(source)
-                    kind = f"<u{reader.width}"
-                    for k in range(len(reader.index)):
-                        out = []
-                        for key, value in reader.block(k):
-                            ids = np.frombuffer(value, kind)
-                            out.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(ids[-1])))
-                            start += len(ids)
-                        frame_ = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "end_id"])
-                        yield frame_.astype({"doc_id": "Int64"})
+                    for key, value in reader:
+                        ids = np.frombuffer(value, f"<u{reader.width}").astype("<u4")
+                        out.append((id_of(key), start, len(ids), zlib.crc32(ids), int(ids[-1])))
+                        start += len(ids)
+                        if len(out) == 4096:
+                            yield batch_of(out)
+                            out = []
+                if out:
+                    yield batch_of(out)
 
     listed = spark.createDataFrame(starts, "path string, start long").repartition(max(1, len(starts)))
-    return listed.mapInPandas(run, schema)
+    return listed.mapInArrow(run, schema)
 
 
 def lookup(folder: str, shards: list[tuple[str, int, int]], doc_id: int | None) -> list[list[int]]:
