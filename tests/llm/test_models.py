@@ -225,6 +225,31 @@ def test_each_position_once():
         assert target[(owner == k) & (target >= 0)].tolist() == [*t.tolist(), lm.STOP]
 
 
+def test_samples_are_windows_of_the_whole_sequence():
+    words = lm.Words(open(vocabulary(TOKENIZER), "rb").read(), [b"a"], [b"a"], np.zeros(lm.BUCKETS, int))
+    for n in (0, 1, 14, 15, 16, 17, 31, 32, 33, 50):
+        found = [b"w%d" % i for i in range(n)]
+        words.learn([found])
+        into, target, _ = lm.padded([words.numbers(found)])
+        blocks = n // lm.STRIDE + 1
+        assert len(into) == (blocks + 1) * lm.STRIDE
+        for b in range(blocks):
+            cut = slice(b * lm.STRIDE, (b + 2) * lm.STRIDE)
+            i, t = lm.sample(words, found, b)
+            assert i.tolist() == into[cut].tolist() and t[lm.STRIDE :].tolist() == target[cut][lm.STRIDE :].tolist()
+
+
+def test_word_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(lm, "CACHE", 3)
+    words = lm.Words(open(vocabulary(TOKENIZER), "rb").read(), [b"the", b"of"], [b"the"], np.zeros(lm.BUCKETS, int))
+    for _ in range(3):
+        words.learn([[b"x", b"y", b"the", b"\xc3\xa9t\xc3\xa9,", b"zz"]])
+        assert words.full and words.names[words.place[b"zz"]] == b"zz" and len(words.classes) == len(words.names) == len(words.starts) - 1
+        assert len(words.pieces(np.array([words.place[b"the"], words.place[b"zz"]]))[1]) == 2
+        words.reset()
+        assert words.names == [b"", b"", b"", b"the", b"of"] and len(words.flat) == words.starts[-1]
+
+
 def test_attention_equals_a_position_at_a_time():
     w, x, into, label, *_ = small()
     got = lm.log_classes(w, x, into != lm.PAD, label[lm.STRIDE :])
