@@ -4,8 +4,8 @@ Markup is stripped to lines: one line for each block of text, and empty lines wh
 article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), known by its
 element, role, class or id. The text lengths of the lines are summed over sliding windows. A stretch starts where the sums
 surge from nothing and ends where they dive to nothing; stretches are kept if their sums reach a threshold, or the page
-has none that does and it is the one with the most text. Inside an article or main element every stretch is the
-article's, whatever its length, and if the page marks its article so, lines outside are furniture.
+has none that does and it is the one with the most text. An article or main element is one more signal: every stretch
+inside is the article's, whatever its length, and outside the distribution decides as on other pages.
 
 Cases: null and empty html give the empty text. Unclosed comments, scripts and tags run to the end of the page, as in a
 browser. Headings and paragraphs of any length are kept whole. Repeated rows are extracted each. Clashing column names of the
@@ -128,27 +128,43 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def stretches(found: list[tuple[str, bool]]) -> list[tuple[int, int]]:
-    """[from, to) of the stretches that are kept, by the sums of text lengths over WINDOW lines."""
-    sizes = [len(t) for t, _ in found]
+def stretches(found: list[tuple[str, bool]]) -> list[tuple[int, int, bool]]:
+    """([from, to), whether it is dense) of the stretches, by the sums of text lengths over WINDOW lines."""
+    sizes = [len(t) for t, *_ in found]
     sums = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(sizes))]
     runs, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
             start = i  # surge
         elif not s and start is not None:
-            runs.append((start, i))  # dive
+            runs.append((start, i, max(sums[start:i]) >= SURGE))  # dive
             start = None
-    weight = {r: sum(sizes[r[0] : r[1]]) for r in runs}
-    kept = [r for r in runs if max(sums[r[0] : r[1]]) >= SURGE]
-    return kept or ([max(runs, key=lambda r: (weight[r], -r[0]))] if runs else [])
+    return runs
+
+
+def outside(found: list[tuple[str, bool]], alone: bool) -> list[tuple[int, int]]:
+    """[from, to) of the kept stretches of lines outside articles; alone: the page has no others, so that one is kept at least."""
+    runs = stretches(found)
+    kept = {i for i, r in enumerate(runs) if r[2]}
+    if not kept and alone and runs:
+        kept = {max(range(len(runs)), key=lambda i: (sum(len(t) for t, *_ in found[runs[i][0] : runs[i][1]]), -i))}
+    if not kept:
+        return []
+    return [runs[i][:2] for i in sorted(kept)]
 
 
 def main_text(page: str) -> str:
     found = lines(page)
-    if any(t for t, inside in found if inside):
-        return " ".join(t for t, inside in found if inside and t)
-    return " ".join(t for a, b in stretches(found) for t, _ in found[a:b] if t)
+    inside = [bool(t) and kind for t, kind in found]
+    # articles part the lines outside as furniture does
+    other: list[tuple[str, bool]] = []
+    place: list[int] = []
+    for i, line in enumerate(found):
+        parts = [("", False)] * WINDOW if inside[i] else [line]
+        other += parts
+        place += [i] * len(parts)
+    keep = {place[k] for a, b in outside(other, not any(inside)) for k in range(a, b)}
+    return " ".join(t for i, (t, *_) in enumerate(found) if t and (inside[i] or i in keep))
 
 
 def extracted(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

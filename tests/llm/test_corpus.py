@@ -137,6 +137,13 @@ def test_main_text(spark):
     assert html.extracted(df.where("page_id < 0")).count() == 0
 
 
+def test_dense_text_outside_an_article_is_kept():
+    body = "body text " * 20
+    page = f"<nav>menu</nav><article><p>Teaser</p></article><div><h1>Title</h1><p>{body}</p></div><footer>{body}</footer><p>tiny</p>"
+    assert html.main_text(page) == f"Teaser Title {body.strip()}"
+    assert html.main_text(f"<div><p>{body}</p></div><main><p>Short</p></main>") == f"{body.strip()} Short"
+
+
 def test_pages_of_the_table(spark):
     import html as entities
 
