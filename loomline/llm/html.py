@@ -7,6 +7,10 @@ surge from nothing and ends where they dive to nothing; stretches are kept if th
 has none that does and it is the one with the most text. An article or main element is one more signal: every stretch
 inside is the article's, whatever its length, and outside the distribution decides as on other pages.
 
+Furniture within a text parts a short stretch from its neighbours. It is kept too if it lies between kept ones, if it is in an
+element that holds a kept one's text directly, or is held directly by an element around one. The page itself (body) is no
+such element: there a short stretch is kept next to a kept one, with nothing between but adverts and asides.
+
 Cases: null and empty html give the empty text. Unclosed comments, scripts and tags run to the end of the page, as in a
 browser. Headings and paragraphs of any length are kept whole. Repeated rows are extracted each. Clashing column names of the
 input are replaced.
@@ -36,6 +40,12 @@ MARKS = set("ad ads advert adverts advertisement banner sponsor sponsored promo
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Elements that the next one of their kind, or the end of what holds them, closes.
 SOFT = set("p li dt dd tr td th option thead tbody tfoot colgroup".split())
+#: Furniture that stands within a text, by element and by word of a class or id.
+INSET = set("aside iframe noscript template svg button object canvas".split())
+INSET_MARKS = set("ad ads advert adverts advertisement sponsor sponsored promo promoted newsletter subscribe sharing share social related recommended".split())
+#: Elements that are the whole page, and blocks of text, which hold no other blocks to speak of.
+PAGE = set("html body".split())
+BLOCK = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre ul ol dl".split())
 WINDOW = 3
 SURGE = 86  # code points in a window
 
@@ -68,11 +78,20 @@ def furniture(name: str, attributes: str, in_article: bool) -> bool:
     return bool(HIDDEN.search(attributes))
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, whether inside an article) of each line; furniture leaves WINDOW empty lines."""
-    out: list[tuple[str, bool]] = []
+def inset(name: str, attributes: str) -> bool:
+    """Whether furniture is of a kind that stands within a text."""
+    values = ("".join(v).lower() for _, *v in ATTRIBUTE.findall(attributes))
+    return name in INSET or name not in FURNITURE and any(w in INSET_MARKS for v in values for w in WORD.findall(v))
+
+
+def lines(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
+    """(text, whether inside an article, numbers of the elements around it) of each line; furniture leaves WINDOW empty lines,
+    whose second value is whether it is of a kind that stands within a text."""
+    out: list[tuple[str, bool, tuple[int, ...]]] = []
     held: list[str] = []
     stack: list[str] = []
+    numbers: list[int] = []  # of the elements of the stack; 0 for those that are no container
+    opened = 0
     dropped = articles = at = 0  # dropped: height of the stack at which furniture began
 
     def flush() -> None:
@@ -80,13 +99,13 @@ def lines(page: str) -> list[tuple[str, bool]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, articles > 0))
+                out.append((text, articles > 0, tuple(filter(None, numbers))))
 
     def close(height: int) -> None:
         nonlocal articles, dropped
         for n in stack[height:]:
             articles -= n in ("article", "main")
-        del stack[height:]
+        del stack[height:], numbers[height:]
         if dropped and height < dropped:
             dropped = 0
 
@@ -116,11 +135,13 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if attributes.endswith("/") and name not in ("p", "div", "a", "span"):
             continue
         stack.append(name)
+        opened += 1
+        numbers.append(0 if name in INLINE or name in BLOCK or name in SOFT or name in PAGE else opened)
         if name in ("article", "main"):
             articles += 1
         if not dropped and furniture(name, attributes, articles > 0):
             flush()
-            out += [("", False)] * WINDOW
+            out += [("", inset(name, attributes), ())] * WINDOW
             dropped = len(stack)
     if not dropped:
         held.append(page[at:])
@@ -128,7 +149,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def stretches(found: list[tuple[str, bool]]) -> list[tuple[int, int, bool]]:
+def stretches(found: list[tuple[str, bool, tuple[int, ...]]]) -> list[tuple[int, int, bool]]:
     """([from, to), whether it is dense) of the stretches, by the sums of text lengths over WINDOW lines."""
     sizes = [len(t) for t, *_ in found]
     sums = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(sizes))]
@@ -142,7 +163,7 @@ def stretches(found: list[tuple[str, bool]]) -> list[tuple[int, int, bool]]:
     return runs
 
 
-def outside(found: list[tuple[str, bool]], alone: bool) -> list[tuple[int, int]]:
+def outside(found: list[tuple[str, bool, tuple[int, ...]]], alone: bool) -> list[tuple[int, int]]:
     """[from, to) of the kept stretches of lines outside articles; alone: the page has no others, so that one is kept at least."""
     runs = stretches(found)
     kept = {i for i, r in enumerate(runs) if r[2]}
@@ -150,17 +171,29 @@ def outside(found: list[tuple[str, bool]], alone: bool) -> list[tuple[int, int]]
         kept = {max(range(len(runs)), key=lambda i: (sum(len(t) for t, *_ in found[runs[i][0] : runs[i][1]]), -i))}
     if not kept:
         return []
+    paths = [[path for t, _, path in found[a:b] if t] for a, b, _ in runs]
+    direct = {p[-1] for i in kept for p in paths[i] if p}  # hold kept text directly
+    around = {n for i in kept for p in paths[i] for n in p}
+    first, last = min(kept), max(kept)
+    kept |= {i for i, of in enumerate(paths) if first < i < last or any(p and (p[-1] in around or direct & set(p)) for p in of)}
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        step = order.step  # to the right, then to the left
+        for i in order:
+            if i - step in kept and not paths[i][0] and not paths[i - step][0]:
+                a, b = sorted((runs[i], runs[i - step]))
+                if all(kind for t, kind, _ in found[a[0] : b[0]] if not t):
+                    kept.add(i)
     return [runs[i][:2] for i in sorted(kept)]
 
 
 def main_text(page: str) -> str:
     found = lines(page)
-    inside = [bool(t) and kind for t, kind in found]
+    inside = [bool(t) and kind for t, kind, _ in found]
     # articles part the lines outside as furniture does
-    other: list[tuple[str, bool]] = []
+    other: list[tuple[str, bool, tuple[int, ...]]] = []
     place: list[int] = []
     for i, line in enumerate(found):
-        parts = [("", False)] * WINDOW if inside[i] else [line]
+        parts = [("", False, ())] * WINDOW if inside[i] else [line]
         other += parts
         place += [i] * len(parts)
     keep = {place[k] for a, b in outside(other, not any(inside)) for k in range(a, b)}

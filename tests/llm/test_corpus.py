@@ -144,6 +144,16 @@ def test_dense_text_outside_an_article_is_kept():
     assert html.main_text(f"<div><p>{body}</p></div><main><p>Short</p></main>") == f"{body.strip()} Short"
 
 
+def test_short_text_beside_furniture_in_a_text_is_kept():
+    long = "long text " * 20
+    want = f"{long.strip()} Short end."
+    assert html.main_text(f"<p>{long}</p><div class=ad>x</div><p>Short end.</p>") == want
+    assert html.main_text(f"<body><nav>m</nav><p>{long}</p><aside>x</aside><p>Short end.</p><footer>f</footer><p>legal</p></body>") == want
+    assert html.main_text(f"<p>Home</p><form>f</form><div><p>{long}</p><form>f</form><p>Short end.</p></div><nav>n</nav><p>legal</p>") == want
+    assert html.main_text(f"<div><section><p>{long}</p></section><div class=promo>x</div><h2>Short end.</h2></div>") == want
+    assert html.main_text(f"<div><p>{long}</p></div><nav>n</nav><p>Between</p><nav>n</nav><div><p>{long}</p></div>") == f"{long}Between {long.strip()}"
+
+
 def test_pages_of_the_table(spark):
     import html as entities
 
