@@ -9,7 +9,7 @@ lengths; a logistic calibration of these length-normalised ratios, fitted on row
 models, gives the score.
 
 The models are fitted on a bounded sample of labelled rows: at most PER_CLASS documents of each class, chosen by a hash of
-their identifier, and keep the WORDS most frequent words and PAIRS most frequent pairs. Scoring reads every whole text.
+their identifier, and keep every word and every pair of the sample, those seen once too. Scoring reads every whole text.
 
 Cases: null and empty texts score by the calibration's value for no evidence. Null labels and labels without a document
 are ignored; of repeated labels of a document the toxic one counts. Without learning rows of both classes every score is
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +33,9 @@ from . import common
 from .decontaminate import FOLD
 
 PER_CLASS = 10_000
-WORDS = 100_000
-PAIRS = 200_000
 STRETCHES = (1, 4, 16)
 FLUSH = 200_000  # pairs that a task counts before it hands them on
-SHIFT = 20
+SHIFT = 32
 STEMS = (6, 4)  # bytes
 
 
@@ -86,8 +85,9 @@ def features(model: Model, text: bytes) -> list[float]:
     return [float(sums[-1]) / n, *best, math.log1p(n)]
 
 
-def build(pairs: DataFrame, words: int, keep: int) -> Model:
-    """The ratios from a table of pairs: v, w, t and o (counts in toxic and ordinary texts)."""
+def build(pairs: DataFrame, words: int | None = None, keep: int | None = None) -> Model:
+    """The ratios from a table of pairs: v, w, t and o (counts in toxic and ordinary texts). All words and pairs are kept; if
+    bounds are given, so many of the most frequent words, and of the most frequent pairs among those that occur again."""
     pairs = common.stored(pairs, "pairs")
     ones = pairs.agg(*[F.sum(F.when(F.col(c) == n, 1).otherwise(0)) for c in "to" for n in (1, 2)]).first()
     discount = [min(0.95, max(0.1, a / (a + 2 * b))) if a and b else 0.75 for a, b in (ones[:2], ones[2:])]
@@ -101,8 +101,11 @@ def build(pairs: DataFrame, words: int, keep: int) -> Model:
         """Discounted counts of class k, and what they leave spread as `below` is."""
         return (np.maximum(counts - discount[k], 0) + discount[k] * kinds * below) / max(n[k], 1)
 
-    def top_of(df: DataFrame, key: str, most: int) -> tuple[list[bytes], dict[str, np.ndarray]]:
-        got = df.select(key, "t", "o", "share").orderBy(F.desc(F.col("t") + F.col("o")), key).limit(most).toArrow()
+    def bounded(df: DataFrame, most: int | None, *order: str) -> DataFrame:
+        return df if most is None else df.orderBy(F.desc(F.col("t") + F.col("o")), *order).limit(most)
+
+    def top_of(df: DataFrame, key: str, most: int | None) -> tuple[list[bytes], dict[str, np.ndarray]]:
+        got = bounded(df.select(key, "t", "o", "share"), most, key).toArrow()
         return got[key].to_pylist(), {c: got[c].to_numpy().astype(float) for c in ("t", "o", "share")}
 
     # from short stems to long ones to words: each level backs off to the one before it
@@ -128,25 +131,49 @@ def build(pairs: DataFrame, words: int, keep: int) -> Model:
     place = {w: i + 1 for i, w in enumerate(names)}
     prob = [np.concatenate([[1.0], p]) for p in prob]
     after = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"{c}s") for c in "to"])
-    after = after.orderBy(F.desc(F.col("t") + F.col("o")), "v").limit(words).toArrow()
+    after = bounded(after, words, "v").toArrow()
     size, weight = np.zeros((2, len(names) + 1)), np.ones((2, len(names) + 1))
-    at = np.array([place.get(x, -1) for x in after["v"].to_pylist()], np.int64)
-    known = at >= 0
+    values = pa.array(names, pa.binary())
+
+    at = pc.fill_null(pc.index_in(after["v"], value_set=values), -1).to_numpy().astype(np.int64) + 1
+    known = at > 0
     for k, c in enumerate("to"):
         count, kinds = after[c].to_numpy().astype(float)[known], after[f"{c}s"].to_numpy().astype(float)[known]
         size[k, at[known]] = count
         weight[k, at[known]] = np.where(count > 0, discount[k] * kinds / np.maximum(count, 1), 1.0)
-    top = pairs.where(F.col("t") + F.col("o") > 1).orderBy(F.desc(F.col("t") + F.col("o")), "v", "w").limit(keep).toArrow()
-    a, b = (np.array([place.get(x, 0) for x in top[c].to_pylist()], np.int64) for c in "vw")
-    known = (a > 0) & (b > 0)
-    a, b = a[known], b[known]
-    like = []
-    for k, c in enumerate("to"):
-        count = np.maximum(top[c].to_numpy().astype(float)[known] - discount[k], 0)
-        like.append(np.where(size[k, a] > 0, count / np.maximum(size[k, a], 1), 0) + weight[k, a] * prob[k][b])
-    keys = a << SHIFT | b
+    top = pairs if keep is None else bounded(pairs.where(F.col("t") + F.col("o") > 1), keep, "v", "w")
+    spark = pairs.sparkSession
+    shared = spark.sparkContext.broadcast((values, size, weight, prob, discount))
+
+    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers of the pairs' words as one key, and the log ratio of the pair: the driver sees no bytes of them."""
+        values, size, weight, prob, discount = shared.value
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            a, b = (pc.fill_null(pc.index_in(table[c], value_set=values), -1).to_numpy().astype(np.int64) + 1 for c in "vw")
+            known = (a > 0) & (b > 0)
+            a, b, like = a[known], b[known], []
+            for k, c in enumerate("to"):
+                count = np.maximum(table[c].to_numpy().astype(float)[known] - discount[k], 0)
+                like.append(np.where(size[k, a] > 0, count / np.maximum(size[k, a], 1), 0) + weight[k, a] * prob[k][b])
+            return pa.RecordBatch.from_arrays([pa.array(a << SHIFT | b), pa.array((np.log(like[0]) - np.log(like[1])).astype("f4"))], names=["key", "ratio"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FLUSH:
+                yield out(pa.Table.from_batches(held))
+                held, n = [], 0
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    got = top.select("v", "w", "t", "o").mapInArrow(ratio, "key long, ratio float").toArrow()
+    keys, ratios = got["key"].to_numpy(), got["ratio"].to_numpy()
+    del got
+    shared.destroy()
     order = np.argsort(keys)
-    return Model(names, np.log(prob[0]) - np.log(prob[1]), np.log(weight[0]) - np.log(weight[1]), keys[order], (np.log(like[0]) - np.log(like[1]))[order], stems)
+    return Model(names, np.log(prob[0]) - np.log(prob[1]), np.log(weight[0]) - np.log(weight[1]), keys[order], ratios[order], stems)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -205,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", text:
         yield out()
 
     grams = chosen.where("count_it").select("body", "toxic").mapInArrow(count, "v binary, w binary, t long, o long")
-    model = build(grams.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), WORDS, PAIRS)
+    model = build(grams.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(shared.value, x.as_py()) for x in batch.column(0)], pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rest = chosen.where("not count_it").select("body", "toxic").mapInArrow(measure, "toxic boolean, x array<double>").toPandas()
+    shared.destroy()  # scoring sends the model with its calibration
     if rest["toxic"].nunique() < 2:
         return model, constant
     y = rest["toxic"].to_numpy(float)

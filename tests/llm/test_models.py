@@ -62,6 +62,18 @@ def test_toxicity_edge_cases(spark, docs, empty, labelled):
     assert none is None and {r["predicted"] for r in toxicity.score(docs, none, constant).collect()} == {0}
 
 
+def test_all_words_and_pairs_of_the_sample_are_kept(spark):
+    """As many distinct pairs and words as no bound of the model would hold, most of them seen once."""
+    n = 130_000
+    rows = spark.range(n).selectExpr("cast(concat('v', id) as binary) v", "cast(concat('w', id) as binary) w", "1L + id % 2 t", "0L o")
+    rows = rows.unionByName(rows.selectExpr("w v", "v w", "0L t", "1L o"))
+    model = toxicity.build(rows)
+    assert len(model.place) == 2 * n and len(model.keys) == len(model.pairs) == 2 * n
+    for k in (0, 1, n - 1):  # a pair that was seen once in one class tells for it beyond what its words do
+        v, w = b"v%d" % k, b"w%d" % k
+        assert model.ratios([v, w])[1] > model.unigram[model.place[w]] + model.context[model.place[v]]
+
+
 def test_ratios_equal_a_plain_kneser_ney(spark):
     """The ratios of one small corpus, worked out with dictionaries."""
     bad, good = ["a b a c", "a b d"], ["c d c", "a c d d", "b d"]
