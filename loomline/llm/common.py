@@ -6,7 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,74 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_resident: tuple[str, object] | None = None
+
+
+def resident(key: str, make):
+    """The model that this Python worker holds: of one key at a time, so that of an operator that has ended is let go."""
+    global _resident
+    if _resident is None or _resident[0] != key:
+        _resident = None  # before the next one is made
+        _resident = (key, make())
+    return _resident[1]
+
+
+class Recent:
+    """Rows of `width` numbers by chunk of text, for the chunks that were met last: two generations of about `most` bytes
+    together, so chunks in use stay."""
+
+    def __init__(self, width: int, most: int):
+        self.width, self.most = width, most
+        self._open()
+        self.old, self.old_rows = {}, self.rows
+
+    def _open(self) -> None:
+        self.young: dict[bytes, int] = {}
+        self.rows = np.zeros((1024, self.width))
+        self.size = 0
+
+    def _add(self, chunks: list[bytes], rows: np.ndarray) -> None:
+        at = len(self.young)
+        if at + len(chunks) > len(self.rows):
+            more = np.zeros((max(2 * len(self.rows), at + len(chunks)), self.width))
+            more[:at] = self.rows[:at]
+            self.rows = more
+        self.rows[at : at + len(chunks)] = rows
+        self.young.update(zip(chunks, range(at, at + len(chunks))))
+        self.size += sum(map(len, chunks)) + len(chunks) * (150 + 8 * self.width)
+
+    def sums(self, texts: list[list[bytes]], learn) -> np.ndarray:
+        """For each list of chunks the sum of their rows; learn gives the rows of a list of unknown chunks."""
+        need = set().union(*texts).difference(self.young)
+        again = [c for c in need if c in self.old]
+        if again:
+            self._add(again, self.old_rows[[self.old[c] for c in again]])
+        missing = list(need.difference(self.old))
+        if missing:
+            self._add(missing, learn(missing))
+        out = np.zeros((len(texts), self.width))
+        for k, chunks in enumerate(texts):
+            if chunks:
+                out[k] = self.rows[np.fromiter(map(self.young.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
+        if self.size > self.most // 2:
+            self.old, self.old_rows = self.young, self.rows
+            self._open()
+        return out
+
+
+def by_bytes(texts: pa.Array, most: int) -> Iterator[list[bytes]]:
+    """The texts of a column in order, in lists of about `most` bytes."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x.as_py())
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
