@@ -235,15 +235,9 @@ class Remembered:
         return out
 
 
-_models: dict[str, Bpe] = {}
-
-
 def model(key: str, spec: bytes) -> Bpe:
-    """The worker's model of that file; built once and kept for later tasks."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = Bpe(spec)
-    return _models[key]
+    """The worker's model of that file; kept for later tasks of the operator."""
+    return common.resident("bpe " + key, lambda: Bpe(spec))
 
 
 def _spec(spark, path: str):
