@@ -12,19 +12,20 @@ The models are fitted on a bounded sample of labelled rows: at most PER_CLASS do
 their identifier, and keep every word and every pair of the sample, those seen once too. Scoring reads every whole text.
 
 Cases: null and empty texts score by the calibration's value for no evidence. Null labels and labels without a document
-are ignored; of repeated labels of a document the toxic one counts. Without learning rows of both classes every score is
-the toxic share of the labels (near 0 without labels). Repeated rows score alike. Clashing column names of the input are replaced.
+are ignored; of repeated labels of a document the toxic one counts. Without learning texts of both classes that have a word
+every score is the toxic share of the labels (near 0 without labels); so it is where the rows that calibrate are of one class. Repeated rows score alike. Clashing column names of the input are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,8 @@ from .decontaminate import FOLD
 PER_CLASS = 10_000
 STRETCHES = (1, 4, 16)
 FLUSH = 200_000  # pairs that a task counts before it hands them on
-SHIFT = 32
+SEED = 42
+AT_ONCE = 1 << 20  # bytes of text that are looked up at once
 STEMS = (6, 4)  # bytes
 
 
@@ -43,40 +45,94 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word, as the function xxhash64 of SQL gives it. That any two of a million words share a hash has a chance
+    of 3e-8; they would count as one."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), "<u8", len(words))
+
+
+def joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each pair of hashes."""
+    x = before * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Places:
+    """Places from 1 on of distinct hashes in their sorted order, 0 for any other: an array, and where in it those with
+    the same first bits begin."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        bits = max(1, len(hashes).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.append(np.searchsorted(self.hashes, np.arange(1 << bits, dtype="u8") << self.shift), len(hashes)).astype("i4")
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        first = (wanted >> self.shift).astype(np.int64)
+        at, stop = self.start[first].astype(np.int64), self.start[first + 1]
+        out, open_ = np.zeros(len(wanted), np.int64), np.nonzero(at < stop)[0]
+        while len(open_):
+            here = at[open_]
+            hit = self.hashes[here] == wanted[open_]
+            out[open_[hit]] = here[hit] + 1
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return out
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.of(hashed([word]))[0])
+
+
 class Model:
     """The two models as log ratios: of a word or, if it is rare, of its stem; of a context's backoff weights; and of the
-    pairs that were seen."""
+    pairs that were seen. Of words place 0 is an unknown one, and the place after the last the start of a text."""
 
-    def __init__(self, words: list[bytes], unigram: np.ndarray, context: np.ndarray, keys: np.ndarray, pairs: np.ndarray, stems: dict[bytes, float]):
-        self.place = {w: i + 1 for i, w in enumerate(words)}
-        self.unigram, self.context, self.keys, self.pairs, self.stems = unigram, context, keys, pairs, stems
+    def __init__(self, place: Places, unigram: np.ndarray, context: np.ndarray, stem: Places, stems: np.ndarray, keys: Places, pairs: np.ndarray):
+        self.place, self.stem, self.keys = place, stem, keys
+        self.unigram, self.context, self.stems, self.pairs = (x.astype("f4") for x in (unigram, context, stems, pairs))
 
-    def rare(self, word: bytes) -> float:
+    def rare(self, words: list[bytes]) -> np.ndarray:
+        """The ratio of each word's longest known stem; 0 without one."""
+        at = np.zeros(len(words), np.int64)
         for size in STEMS:
-            found = self.stems.get(word[:size])
-            if found is not None:
-                return found
-        return 0.0
+            none = np.nonzero(at == 0)[0]
+            at[none] = self.stem.of(hashed([words[i][:size] for i in none.tolist()]))
+        return self.stems[at]
+
+    def all_ratios(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ratios of the words of texts, one text after the other, and where each text begins (and the last one ends)."""
+        found = list(chain.from_iterable(texts))
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        if not found:
+            return np.zeros(0), ends
+        h = hashed(found)
+        ids = self.place.of(h)
+        out = self.unigram[ids].astype(float)
+        none = np.nonzero(ids == 0)[0]
+        if len(none):
+            out[none] = self.rare([found[i] for i in none.tolist()])
+        first = ends[:-1][ends[:-1] < ends[1:]]
+        before, h_before = np.roll(ids, 1), np.roll(h, 1)
+        before[first], h_before[first] = len(self.place) + 1, hashed([b""])[0]
+        out += self.context[before]
+        at = self.keys.of(joined(h_before, h))
+        seen = np.nonzero(at)[0]
+        out[seen] = self.pairs[at[seen] - 1]
+        return out, ends
 
     def ratios(self, found: list[bytes]) -> np.ndarray:
-        place = self.place
-        ids = np.fromiter((place.get(w, 0) for w in found), np.int64, len(found))
-        out = self.unigram[ids].copy()
-        for i in np.nonzero(ids == 0)[0].tolist():
-            out[i] = self.rare(found[i])
-        if len(ids) > 1:
-            out[1:] += self.context[ids[:-1]]
-            if len(self.keys):
-                wanted = ids[:-1] << SHIFT | ids[1:]
-                at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-                seen = self.keys[at] == wanted
-                out[1:][seen] = self.pairs[at[seen]]
-        return out
+        return self.all_ratios([found])[0]
 
 
-def features(model: Model, text: bytes) -> list[float]:
-    """Mean ratio of the whole text and of its best stretches, and the logarithm of its length."""
-    x = model.ratios(tokens(text))
+def evidence(x: np.ndarray) -> list[float]:
+    """Mean ratio of a whole text and of its best stretches, and the logarithm of its length."""
     n = len(x)
     if not n:
         return [0.0] * (len(STRETCHES) + 2)
@@ -85,95 +141,90 @@ def features(model: Model, text: bytes) -> list[float]:
     return [float(sums[-1]) / n, *best, math.log1p(n)]
 
 
+def features(model: Model, texts: pa.Array) -> np.ndarray:
+    """The evidence of each text of a column."""
+    out = []
+    for some in common.by_bytes(texts, AT_ONCE):
+        x, ends = model.all_ratios([tokens(t) for t in some])
+        out += [evidence(x[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+    return np.array(out).reshape(len(out), len(STRETCHES) + 2)
+
+
 def build(pairs: DataFrame, words: int | None = None, keep: int | None = None) -> Model:
-    """The ratios from a table of pairs: v, w, t and o (counts in toxic and ordinary texts). All words and pairs are kept; if
-    bounds are given, so many of the most frequent words, and of the most frequent pairs among those that occur again."""
-    pairs = common.stored(pairs, "pairs")
+    """The ratios from a table of pairs: v, w, t and o (counts in toxic and ordinary texts), each pair once. All words and
+    pairs are kept; if bounds are given, so many of the most frequent words, and of the most frequent pairs among those that
+    occur again. The driver and the workers see hashes and numbers, no words."""
+    spark = pairs.sparkSession
+    pairs = pairs.select(*[F.xxhash64(c).alias(c) for c in "vw"], *[F.xxhash64(F.expr(f"substring(w, 1, {n})")).alias(f"s{n}") for n in STEMS], "t", "o")
     ones = pairs.agg(*[F.sum(F.when(F.col(c) == n, 1).otherwise(0)) for c in "to" for n in (1, 2)]).first()
     discount = [min(0.95, max(0.1, a / (a + 2 * b))) if a and b else 0.75 for a, b in (ones[:2], ones[2:])]
-    uni = pairs.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count(F.lit(1)).alias("contexts"))
-    uni = common.stored(uni, "words")
-    total = uni.agg(F.sum("t"), F.sum("o"), F.sum("contexts"), F.count(F.lit(1)), *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) for c in "to"]).first()
-    n, contexts, v, types = (total[0], total[1]), total[2], total[3], (total[4], total[5])
-    share = (F.col("contexts") + 1) / F.lit(float(contexts + v + 1))
+    got = pairs.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count(F.lit(1)).alias("contexts"), *[F.first(f"s{n}").alias(f"s{n}") for n in STEMS]).toArrow()
+    table = {c: got[c].to_numpy() for c in got.column_names}
+    del got
+    order = np.argsort(table["w"].view("u8"))
+    table = {c: x[order] for c, x in table.items()}
+    count = [table[c].astype(float) for c in "to"]
+    n = [c.sum() for c in count]
+    share = (table["contexts"] + 1) / float(table["contexts"].sum() + len(order) + 1)
 
-    def smoothed(counts, k: int, kinds: int, below):
+    def smoothed(counts: np.ndarray, k: int, below: np.ndarray) -> np.ndarray:
         """Discounted counts of class k, and what they leave spread as `below` is."""
-        return (np.maximum(counts - discount[k], 0) + discount[k] * kinds * below) / max(n[k], 1)
-
-    def bounded(df: DataFrame, most: int | None, *order: str) -> DataFrame:
-        return df if most is None else df.orderBy(F.desc(F.col("t") + F.col("o")), *order).limit(most)
-
-    def top_of(df: DataFrame, key: str, most: int | None) -> tuple[list[bytes], dict[str, np.ndarray]]:
-        got = bounded(df.select(key, "t", "o", "share"), most, key).toArrow()
-        return got[key].to_pylist(), {c: got[c].to_numpy().astype(float) for c in ("t", "o", "share")}
+        return (np.maximum(counts - discount[k], 0) + discount[k] * np.count_nonzero(counts) * below) / max(n[k], 1)
 
     # from short stems to long ones to words: each level backs off to the one before it
-    levels: list[tuple[int, dict[bytes, int], np.ndarray]] = []  # places, and both classes' probabilities over the shared one
-    stems: dict[bytes, float] = {}
-    for size in [*sorted(STEMS), None]:
-        grouped = uni.withColumn("share", share)
-        if size:
-            grouped = grouped.groupBy(F.expr(f"substring(w, 1, {size})").alias("w")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("share").alias("share"))
-            grouped = common.stored(grouped, "stems")
-            kinds = grouped.agg(*[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) for c in "to"]).first()
-        else:
-            kinds = types
-        names, table = top_of(grouped, "w", words)
-        lift = np.ones((2, len(names)))
-        for m, place, over in levels:  # a longer stem, found later, takes the place of a shorter one
-            at = np.fromiter((place.get(w[:m], -1) for w in names), np.int64, len(names))
-            lift[:, at >= 0] = over[:, at[at >= 0]]
-        prob = np.array([smoothed(table[c], k, kinds[k], table["share"] * lift[k]) for k, c in enumerate("to")]).reshape(2, len(names))
-        if size:
-            stems.update(zip(names, np.log(prob[0] / prob[1]).tolist()))
-            levels.append((size, {w: i for i, w in enumerate(names)}, prob / table["share"]))
-    place = {w: i + 1 for i, w in enumerate(names)}
-    prob = [np.concatenate([[1.0], p]) for p in prob]
-    after = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"{c}s") for c in "to"])
-    after = bounded(after, words, "v").toArrow()
-    size, weight = np.zeros((2, len(names) + 1)), np.ones((2, len(names) + 1))
-    values = pa.array(names, pa.binary())
-
-    at = pc.fill_null(pc.index_in(after["v"], value_set=values), -1).to_numpy().astype(np.int64) + 1
-    known = at > 0
+    lift, found = np.ones((2, len(order))), []  # of each word, the level's probabilities over the shared ones
+    for size in sorted(STEMS):
+        kinds, first, of = np.unique(table[f"s{size}"].view("u8"), return_index=True, return_inverse=True)
+        mine = np.bincount(of, share, len(kinds))
+        prob = [smoothed(np.bincount(of, count[k], len(kinds)), k, mine * lift[k, first]) for k in (0, 1)]
+        found.append((kinds, np.log(prob[0] / prob[1])))
+        lift = np.array([(prob[k] / mine)[of] for k in (0, 1)]).reshape(2, len(order))
+    prob = np.ones((2, len(order) + 2))
+    for k in (0, 1):
+        prob[k, 1:-1] = smoothed(count[k], k, share * lift[k])
+    # a long stem takes the place of a short one of the same bytes
+    stems, first = np.unique(np.concatenate([x[0] for x in reversed(found)]), return_index=True)
+    stem_ratio = np.concatenate([[0.0], np.concatenate([x[1] for x in reversed(found)])[first]])
+    kept = np.arange(len(order))
+    if words is not None and words < len(order):
+        kept = np.sort(np.argsort(-(count[0] + count[1]), kind="stable")[:words])
+        prob = prob[:, np.concatenate([[0], kept + 1, [-1]])]
+    place = Places(table["w"].view("u8")[kept])
+    del table, lift, share, count
+    after = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"{c}s") for c in "to"]).toArrow()
+    size, weight = np.zeros((2, len(place) + 2), "f4"), np.ones((2, len(place) + 2), "f4")
+    start = hashed([b""])[0]
+    context = after["v"].to_numpy().view("u8")
+    at = np.where(context == start, len(place) + 1, place.of(context))
+    known = np.nonzero(at)[0]
     for k, c in enumerate("to"):
-        count, kinds = after[c].to_numpy().astype(float)[known], after[f"{c}s"].to_numpy().astype(float)[known]
-        size[k, at[known]] = count
-        weight[k, at[known]] = np.where(count > 0, discount[k] * kinds / np.maximum(count, 1), 1.0)
-    top = pairs if keep is None else bounded(pairs.where(F.col("t") + F.col("o") > 1), keep, "v", "w")
-    spark = pairs.sparkSession
-    shared = spark.sparkContext.broadcast((values, size, weight, prob, discount))
+        followed, kinds = after[c].to_numpy().astype(float)[known], after[f"{c}s"].to_numpy().astype(float)[known]
+        size[k, at[known]] = followed
+        weight[k, at[known]] = np.where(followed > 0, discount[k] * kinds / np.maximum(followed, 1), 1.0)
+    del after
+    shared = spark.sparkContext.broadcast((place, size, weight, prob.astype("f4"), discount, start))
 
     def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Numbers of the pairs' words as one key, and the log ratio of the pair: the driver sees no bytes of them."""
-        values, size, weight, prob, discount = shared.value
-
-        def out(table: pa.Table) -> pa.RecordBatch:
-            a, b = (pc.fill_null(pc.index_in(table[c], value_set=values), -1).to_numpy().astype(np.int64) + 1 for c in "vw")
-            known = (a > 0) & (b > 0)
-            a, b, like = a[known], b[known], []
-            for k, c in enumerate("to"):
-                count = np.maximum(table[c].to_numpy().astype(float)[known] - discount[k], 0)
-                like.append(np.where(size[k, a] > 0, count / np.maximum(size[k, a], 1), 0) + weight[k, a] * prob[k][b])
-            return pa.RecordBatch.from_arrays([pa.array(a << SHIFT | b), pa.array((np.log(like[0]) - np.log(like[1])).astype("f4"))], names=["key", "ratio"])
-
-        held, n = [], 0
+        """The key and the log ratio of each pair."""
+        place, size, weight, prob, discount, start = shared.value
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= FLUSH:
-                yield out(pa.Table.from_batches(held))
-                held, n = [], 0
-        if held:
-            yield out(pa.Table.from_batches(held))
-
-    got = top.select("v", "w", "t", "o").mapInArrow(ratio, "key long, ratio float").toArrow()
-    keys, ratios = got["key"].to_numpy(), got["ratio"].to_numpy()
+            v, w = (batch.column(i).to_numpy().view("u8") for i in (0, 1))
+            a, b = np.where(v == start, len(place) + 1, place.of(v)), place.of(w)
+            known = np.nonzero((a > 0) & (b > 0))[0]
+            v, w, a, b, like = v[known], w[known], a[known], b[known], []
+            for k in (0, 1):
+                count = np.maximum(batch.column(2 + k).to_numpy().astype(float)[known] - discount[k], 0)
+                like.append(np.where(size[k, a] > 0, count / np.maximum(size[k, a], 1), 0) + weight[k, a] * prob[k, b])
+            yield pa.RecordBatch.from_arrays([pa.array(joined(v, w).view("i8")), pa.array((np.log(like[0]) - np.log(like[1])).astype("f4"))], names=["key", "ratio"])
+
+    top = pairs.select("v", "w", "t", "o")
+    if keep is not None:
+        top = top.where(F.col("t") + F.col("o") > 1).orderBy(F.desc(F.col("t") + F.col("o")), "v", "w").limit(keep)
+    got = top.mapInArrow(ratio, "key long, ratio float").toArrow()
+    keys, ratios = got["key"].to_numpy().view("u8"), got["ratio"].to_numpy()
     del got
     shared.destroy()
-    order = np.argsort(keys)
-    return Model(names, np.log(prob[0]) - np.log(prob[1]), np.log(weight[0]) - np.log(weight[1]), keys[order], ratios[order], stems)
+    return Model(place, np.log(prob[0]) - np.log(prob[1]), np.log(weight[0]) - np.log(weight[1]), Places(stems), stem_ratio, Places(keys), ratios[np.argsort(keys)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -205,12 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", text:
     constant = np.array([0.0] * (len(STRETCHES) + 2) + [share_odds])
     if not toxic or not ordinary:
         return None, constant
-    parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (True, False)]
+    parts = [common.least_by_hash(known.where(F.col("toxic") == c), "id", n, per_class) for c, n in ((True, toxic), (False, ordinary))]
     sample = common.stored(parts[0].union(parts[1]).withColumn("count_it", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) > 0), "sample")
     chosen = docs.select(F.col(doc_id).alias("id"), common.utf8(text).alias("body")).join(F.broadcast(sample), "id").select("id", "body", "toxic", "count_it")
     chosen = common.stored(chosen, "texts")
-    if len(chosen.where("count_it").select("toxic").distinct().collect()) < 2:
-        return None, constant
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
@@ -232,12 +281,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", text:
         yield out()
 
     grams = chosen.where("count_it").select("body", "toxic").mapInArrow(count, "v binary, w binary, t long, o long")
-    model = build(grams.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
-    shared = spark.sparkContext.broadcast(model)
+    grams = common.stored(grams.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "pairs")
+    if not all(grams.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()):
+        return None, constant
+    model = build(grams)
+    shared, key = spark.sparkContext.broadcast(model), f"toxicity {uuid.uuid4().hex}"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(shared.value, x.as_py()) for x in batch.column(0)], pa.list_(pa.float64()))], names=["toxic", "x"])
+            model = common.resident(key, lambda: shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(features(model, batch.column(0)).tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rest = chosen.where("not count_it").select("body", "toxic").mapInArrow(measure, "toxic boolean, x array<double>").toPandas()
     shared.destroy()  # scoring sends the model with its calibration
@@ -255,15 +308,14 @@ def score(docs: DataFrame, model: Model | None, beta: np.ndarray, text: str = "t
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"score", "predicted"}]
     body = common.fresh(docs, "_utf8")
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = spark.sparkContext.broadcast((model, beta))
+    shared, key = spark.sparkContext.broadcast((model, beta)), f"toxicity {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, beta = shared.value
+        model, beta = common.resident(key, lambda: shared.value)
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for k, raw in enumerate(batch.column(batch.num_columns - 1)):
-                x = features(model, raw.as_py()) if model else [0.0] * (len(beta) - 1)
-                out[k] = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(beta[:-1], x)) + float(beta[-1])))))
+            body = batch.column(batch.num_columns - 1)
+            x = features(model, body) if model else np.zeros((len(body), len(beta) - 1))
+            out = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30.0, 30.0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out), pa.array((out >= 0.5).astype("i4"))], names=schema.names)
 
     return docs.select(*[docs[c] for c in kept], common.utf8(text).alias(body)).mapInArrow(run, schema)
