@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship  # noqa: F401  the operators take it from here
 
+BITMAPS = 16_384  # of 4 KiB, that may be broadcast
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
@@ -57,11 +62,22 @@ def resident(key: str, make):
     """The model that this Python worker holds: of one key at a time, so that of an operator that has ended is let go."""
     global _resident
     if _resident is None or _resident[0] != key:
-        _resident = None  # before the next one is made
+        vacate()  # before the next one is made
         _resident = (key, make())
     return _resident[1]
 
 
+def vacate() -> None:
+    """Let the worker's model go, and give what it took back to the system: a worker lives on from stage to stage."""
+    global _resident
+    if _resident is not None:
+        _resident = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Recent:
     """Rows of `width` numbers by chunk of text, for the chunks that were met last: two generations of about `most` bytes
     together, so chunks in use stay."""
@@ -105,6 +121,15 @@ class Recent:
         return out
 
 
+def least_by_hash(df: DataFrame, column: str, rows: int, most: int) -> DataFrame:
+    """The `most` rows of df with the smallest hash of a column, of which df has `rows`; ties by the column itself. Rows that
+    can't be among them are filtered out before the sort, so the task that merges gets little more than `most`."""
+    share = (1.2 * most + 200) / max(rows, 1)  # of all hashes; the rows below it are fewer than `most` with a chance under 1e-9
+    if share < 1:
+        df = df.where(F.xxhash64(column) < F.lit(int(share * 2.0**64) - 2**63))
+    return df.orderBy(F.xxhash64(column), column).limit(most)
+
+
 def by_bytes(texts: pa.Array, most: int) -> Iterator[list[bytes]]:
     """The texts of a column in order, in lists of about `most` bytes."""
     held, size = [], 0
@@ -140,6 +165,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def among(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose number is in wanted (row). Rows are not shuffled while a bitmap of the numbers is small enough to be
+    broadcast: its size is checked; beyond that the tables are joined."""
+    # numbers from 1 on, so that a bitmap's bucket and bit follow from them
+    number, bucket, bits = F.col("row") + 1, fresh(rows, "_bucket"), fresh(rows, "_bits")
+    maps = wanted.select(F.bitmap_bucket_number(number).alias(bucket), F.bitmap_bit_position(number).alias("bit"))
+    maps = stored(maps.groupBy(bucket).agg(F.bitmap_construct_agg("bit").alias(bits)), "bits")
+    if maps.count() > BITMAPS:
+        return rows.join(wanted.select(F.col("row").alias(row)).distinct(), row, "left_semi")
+    number = F.col(row) + 1
+    bit = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn(bucket, F.bitmap_bucket_number(number)).join(F.broadcast(maps), bucket)
+    return found.where((byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1).select(*rows.columns)
+
+
 def one_row_each(docs: DataFrame, on: dict[str, str], chosen: DataFrame, prefer) -> DataFrame:
     """The rows of docs whose columns `on` (name in docs: name in chosen, null equal to null) stand in chosen, one row
     for each. chosen has such keys once each and n, how many rows of docs have them. Keys of more than one row, which

@@ -164,7 +164,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     spark = distinct.sparkSession
     n = distinct.count()
     shards = max(1, min(-(-n // SHARD), SAMPLE // 16))
-    sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp")).limit(min(SAMPLE, 64 * shards)).collect()]
+    sample = [r["fp"] for r in common.least_by_hash(distinct.select("fp"), "fp", n, min(SAMPLE, 64 * shards)).collect()]
     tree = spark.sparkContext.broadcast(grow(np.array(sample, "<i8").view("<u8"), shards))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,15 +218,12 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that stay: for each component the row with the smallest doc_id, with all columns.
-
-    A component that has null ids only keeps them all: nothing names one of them. Of rows that repeat that doc_id, the
-    longest text stays."""
-    verdict = common.stored(grouped(docs, doc_id, text, words, radius), "verdict")
-    ids = verdict.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("keep_id")).agg(F.count(F.lit(1)).alias("n"))
-    rows = verdict.groupBy(F.col("doc_id").alias("keep_id")).agg(F.count(F.lit(1)).alias("m")).join(ids, "keep_id", "left_semi").select("keep_id", F.col("m").alias("n"))
-    kept = common.one_row_each(docs, {doc_id: "keep_id"}, rows, F.length(F.coalesce(F.col(text), F.lit(""))))
-    nameless = verdict.where("component_id is null")
-    if nameless.isEmpty():
-        return kept
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    """The rows of docs that stay: for each component the row with the smallest doc_id (nulls last), then the longest text;
+    with all columns."""
+    row = common.fresh(docs, "_row")
+    numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    verdict = grouped(numbered, row, text, words, radius).select("doc_id", "component_id")
+    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    places = numbered.select(F.col(row).alias("row"), F.col(doc_id).isNull().alias("u"), F.col(doc_id).alias("id"), (-size).alias("n"))
+    first = places.join(verdict, places.row == verdict.doc_id).groupBy("component_id").agg(F.min(F.struct("u", "id", "n", "row")).alias("x"))
+    return common.among(numbered, row, common.stored(first.select("x.row"), "kept")).select(*docs.columns)

@@ -106,6 +106,15 @@ def test_repeated_rows_stay_once(spark):
     assert got == [(0, "c"), (1, "a b")]
 
 
+def test_ids_at_the_ends_of_the_range(spark):
+    low, high = -(2**63), 2**63 - 1
+    df = spark.createDataFrame([(low, "a b"), (high, "a b"), (low, "c"), (high, "c"), (None, "c")], "doc_id long, text string")
+    for capacity in (1, 2, 4096):
+        got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.decisions(df, capacity=capacity).collect()}
+        assert got == {(low, low, 2, True), (high, low, 2, False), (low, low, 3, True), (high, low, 3, False), (None, low, 3, False)}
+        assert len(exact.deduplicated(df, capacity=capacity).collect()) == 2
+
+
 def test_misra_gries_keeps_heavy_digests(spark):
     held = {}
     for k in range(4000):
@@ -200,6 +209,12 @@ def test_near_copies(spark, docs, texts, empty):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == sorted({min(w[2] if w[2] is not None else 0 for w in want if w[2] == c) if c is not None else 0 for c in {w[2] for w in want}})
 
 
+def test_components_that_share_or_lack_an_id_stay(spark):
+    a, b = "one two three four five six seven", "seven wizards mix potions in quiet rooms"
+    df = spark.createDataFrame([(1, a, 1), (1, b, 2), (None, b[::-1], 3), (None, a[::-1], 4), (1, a, 5)], "doc_id long, text string, row int")
+    assert sorted(r["text"] for r in simhash.representatives(df).collect()) == sorted([a, b, a[::-1], b[::-1]])
+
+
 def test_trees_find_all_links(spark, monkeypatch):
     """Many shards and small leaves, dense groups of near copies, chains of links."""
     monkeypatch.setattr(simhash, "SHARD", 60)
