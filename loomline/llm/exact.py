@@ -2,8 +2,8 @@
 
 Texts are equal when equal after all ASCII white space is deleted; they are compared by the SHA-256 of that. Misra-Gries
 summaries of the digests, one for each task and then merged, name every digest of over 2 x rows/CAPACITY rows.
-Their exact winners and counts come from one aggregation with partial sums in each task; the winners (2 x CAPACITY at
-most) are broadcast and removed map-side. All other digests are shuffled by digest in the ordinary way; none of them
+Their exact winners and counts come from one aggregation with partial sums in each task; the winners (fewer than
+CAPACITY) are broadcast and removed map-side. All other digests are shuffled by digest in the ordinary way; none of them
 has more than 2 x rows/CAPACITY rows.
 
 Cases: null text counts as empty, and empty texts are equal. Of equal texts the row with the most code points in the
@@ -48,12 +48,14 @@ def summary(counts: dict[bytes, int], digest: bytes, n: int, capacity: int) -> N
 
 
 def frequent(digests: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Candidates, 2 x capacity at most; every digest with over 2 x rows/capacity rows is among them.
+    """Candidates, fewer than capacity; every digest with over 2 x rows/capacity rows is among them.
 
     A task's summary is short by its rows/capacity at most, so a sum is short by rows/capacity at most: such a digest's
-    sum is over rows/capacity, and no more than capacity digests can have such sums."""
+    sum is over rows/capacity, and fewer than capacity digests can have such sums, which never exceed the true counts."""
+    total = digests.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.vacate()
         counts: dict[bytes, int] = {}
         for batch in batches:
             for x in batch.column(0).value_counts():
@@ -61,18 +63,18 @@ def frequent(digests: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["digest", "n"])
 
     sums = digests.select("digest").mapInArrow(run, "digest binary, n long")
-    return sums.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(2 * capacity).select("digest")
+    return sums.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") * capacity > total).select("digest")
 
 
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id (a whole number), keep_id, group_size, kept, text_sha256."""
     common.ship(docs.sparkSession)
     rows = common.stored(digested(docs, doc_id, text), "digests")
-    best = F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"), (-F.col("row")).alias("first"))
+    best = F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("low"), (-F.col("row")).alias("first"))
     candidates = common.stored(frequent(rows, capacity), "frequent")
     winners = rows.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
     heavy = common.stored(winners, "winners")
-    shape = [F.col("doc_id"), (-F.col("best.low")).alias("keep_id"), F.col("group_size"), (F.col("row") == -F.col("best.first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
+    shape = [F.col("doc_id"), F.bitwise_not("best.low").alias("keep_id"), F.col("group_size"), (F.col("row") == -F.col("best.first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
     near = rows.join(F.broadcast(heavy), "digest").select(*shape)
     w = Window.partitionBy("digest")
     far = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").withColumns({"best": F.max(best).over(w), "group_size": F.count(F.lit(1)).over(w)}).select(*shape)
