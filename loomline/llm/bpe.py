@@ -132,7 +132,7 @@ class Bpe:
         key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > CACHE // 2:
                 self.pairs.clear()
             found = self.pairs[key] = self._apart(a, b, 1 << 60)
         return found
@@ -175,7 +175,7 @@ class Bpe:
 
     def known_word(self, w: str) -> bytes:
         if (ids := self.words.get(w)) is None:
-            if len(self.words) > CACHE:
+            if len(self.words) > CACHE // 2:
                 self.words.clear()
             letters = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
             ids = self.words[w] = packed(self.word(letters))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,15 +88,14 @@ def spans(text: bytes, hit: bytearray) -> list[tuple[int, int]]:
     return [(len(text[:a].decode("utf-8", "replace")), len(text[:b].decode("utf-8", "replace"))) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str | None, bytes]]]:
-    """The benchmark in blocks of at most limit bytes of text, or one item: each block is collected by itself."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), common.utf8(text).alias("body"))
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> tuple[int, Iterator[list[tuple[str | None, bytes]]]]:
+    """The distinct rows of the benchmark in blocks of about limit bytes of text or less (but one text at least): their
+    number, and each block, collected when it is asked for."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), common.utf8(text).alias("body")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    n = max(1, -(-total // limit))
-    if n == 1:
-        return [[(r["item"], bytes(r["body"])) for r in rows.collect()]]
-    part = F.pmod(F.xxhash64("item", "body"), F.lit(2 * n))
-    return [[(r["item"], bytes(r["body"])) for r in rows.where(part == k).collect()] for k in range(2 * n)]
+    n = 1 if total <= limit else 2 * -(-total // limit)
+    part = F.pmod(F.xxhash64("item", "body"), F.lit(n))
+    return n, ([(r["item"], bytes(r["body"])) for r in rows.where(part == k).collect()] for k in range(n))
 
 
 def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -103,22 +103,24 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: s
 
     Adds n_words, n_hit, n_items, items_sha256, contaminated, items (sorted as strings) and spans (offsets in the
     original). The benchmark is a table of bounded size; its bytes are checked, and beyond block_bytes it is scanned for
-    in blocks, the marks of one pass kept in the shared folder for the next, so no automaton outgrows a worker."""
+    in blocks, the texts with the marks of one pass written to the shared folder for the next, so no automaton outgrows a worker."""
     spark = docs.sparkSession
     common.ship(spark)
     fields = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(), "contaminated": T.BooleanType(), "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in fields]
     body, mark = common.fresh(docs, "_utf8"), common.fresh(docs, "_marks")
     state = docs.select(*[docs[c] for c in kept], common.utf8(text).alias(body), F.lit(None).cast("binary").alias(mark), F.array().cast("array<string>").alias("items"))
-    blocks = _blocks(benchmark, item, item_text, block_bytes)
+    n_blocks, blocks = _blocks(benchmark, item, item_text, block_bytes)
+    shared = None
     for k, block in enumerate(blocks):
-        shared, last = spark.sparkContext.broadcast(block), k == len(blocks) - 1
         if k:
             state = common.stored(state, "marks")
+            shared.destroy()
+        shared, last, key = spark.sparkContext.broadcast(block), k == n_blocks - 1, f"windows {uuid.uuid4().hex}"
         schema = T.StructType([docs.schema[c] for c in kept] + ([T.StructField(n, t) for n, t in fields.items()] if last else [*state.schema[-3:]]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last, names=schema.names) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last, key=key, names=schema.names) -> Iterator[pa.RecordBatch]:
+            automaton = common.resident(key, lambda: Automaton(shared.value, window))
             for batch in batches:
                 out: dict[str, list] = {n: [] for n in names[len(kept) :]}
                 for raw, old, before in zip(*(batch.column(i) for i in range(batch.num_columns - 3, batch.num_columns))):

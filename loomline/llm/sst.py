@@ -19,6 +19,7 @@ side, in the order of their texts; an empty table gives no shard. Other columns
 from __future__ import annotations
 
 import bisect
+import hashlib
 import json
 import os
 import posixpath
@@ -257,17 +258,6 @@ class Library:
         return self.chunks.joined(text.split(), self.learn)
 
 
-_libraries: dict[int, Library] = {}
-
-
-def _library(spec: bytes) -> Library:
-    key = zlib.crc32(spec)
-    if key not in _libraries:
-        _libraries.clear()
-        _libraries[key] = Library(spec)
-    return _libraries[key]
-
-
 def _files(path: str):
     from pyarrow import fs
 
@@ -283,10 +273,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, doc_id: str
     spark = docs.sparkSession
     common.ship(spark)
     with open(tokenizer, "rb") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        raw = f.read()
+    spec, key = spark.sparkContext.broadcast(raw), "library " + hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _library(spec.value)
+        library = common.resident(key, lambda: Library(spec.value))
         width = 2 if max(library.lib.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         end = np.uint32(end_id).tobytes()
         task = TaskContext.get()
