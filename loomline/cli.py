@@ -15,7 +15,10 @@ from .sources import files as sources
 USAGE = """usage: python -m loomline PATH [-v] [-json] [-nr | -norecurse] [-b | -backend auto|sync|synchronous|threadpool|tp] [-threads N]
        python -m loomline -help | -h | -?"""
 BACKENDS = {"auto": None, "threadpool": None, "tp": None, "sync": 1, "synchronous": 1}
-OK, FAILED, BAD_ARGUMENT = 0, 1, 4
+#: Exit codes.
+OK, BAD_ARGUMENT = 0, 4
+STATUS = {"OUT_OF_MEMORY": 1, "PATH_NORMALIZATION": 5, "FILE_OPEN_FAILED": 12, "FILE_TOO_LARGE": 14, "FILE_READ_FAILED": 15, "DIR_ENUM_FAILED": 16}
+UNEXPECTED = 19
 LARGEST_THREADS = 4096
 
 log = logging.getLogger("loomline")
@@ -52,25 +55,33 @@ def parse(args: list[str]) -> dict | int:
     return out
 
 
+def status_of(error: Exception) -> int:
+    """The exit code of a failure: that of the first status named in its message."""
+    named = re.search("|".join(STATUS), str(error))
+    return STATUS[named[0]] if named else UNEXPECTED
+
+
 def main(args: list[str], spark=None) -> int:
+    # warnings are part of the output and errors are not
+    logging.basicConfig(level=logging.INFO if "-v" in args else logging.WARNING, stream=sys.stdout, format="%(message)s")
     options = parse(args)
     if isinstance(options, int):
         return options
-    logging.basicConfig(level=logging.INFO if options["verbose"] else logging.ERROR)
     threads = 1 if options["failfast"] else options["threads"] or os.cpu_count()
     spark = spark or session(master=f"local[{threads}]" if "SPARK_MASTER" not in os.environ else None)
     began = time.perf_counter()
     try:
-        listed = sources.list_files(spark, options["root"], options["recursive"])
+        listed = sources.list_files(spark, options["root"], options["recursive"]).persist()  # paths alone; the tree is walked once
         result = stats.report(stats.file_stats(listed, options["failfast"]))
         rows = result.collect()
+        left_out = stats.ignored_count(listed).first()["ignored"]
+        listed.unpersist()
     except Exception as error:  # noqa: BLE001  the exit code tells that the run failed
         log.error("%s", str(error).splitlines()[0])
-        return FAILED
+        return status_of(error)
     done = spark.createDataFrame(rows, result.schema)
     print(sinks.text_table(done), end="")
     print(f"Time: {time.perf_counter() - began:.3f}s")
-    left_out = stats.ignored_count(listed).first()["ignored"]
     if left_out:
         print(f"Ignored {left_out} files")
     if options["json"]:

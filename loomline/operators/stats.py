@@ -37,17 +37,17 @@ def text_stats(files: DataFrame, name: str = "name", text: str = "text", catalog
 def content_stats(files: DataFrame, name: str = "name", content: str = "content", catalogue: Catalogue | None = None) -> DataFrame:
     """As text_stats, of bytes: marks are taken off and binary content counts as a file without lines.
 
-    Rows with a UTF-16 mark are decoded in Arrow batches, all others inside the JVM."""
+    Names are resolved first, and the contents are read once. Those with a UTF-16 mark are decoded in Arrow batches, for which
+    all others are null; these are decoded inside the JVM."""
 
     @F.pandas_udf("binary")
     def utf16(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: decoding.to_text(bytes(x)) or b"")
+        return data.map(lambda x: None if x is None else decoding.to_text(bytes(x)) or b"")
 
     sources.ship(files.sparkSession)
     wide = decoding.bom(F.col(content)).startswith("utf-16")
-    narrow = files.where(~F.coalesce(wide, F.lit(False))).withColumn("_text", decoding.decoded(content).getField("text"))
-    converted = files.where(wide).withColumn("_text", F.decode(utf16(F.col(content)), "ISO-8859-1"))
-    return text_stats(narrow.unionByName(converted).drop(content), name, "_text", catalogue)
+    text = F.coalesce(F.decode(utf16(F.when(wide, F.col(content))), "ISO-8859-1"), decoding.decoded(content).getField("text"))
+    return text_stats(files.withColumn("_text", text).drop(content), name, "_text", catalogue)
 
 
 def file_stats(files: DataFrame, failfast: bool = False, catalogue: Catalogue | None = None) -> DataFrame:
@@ -84,12 +84,12 @@ def grand_total(stats: DataFrame) -> DataFrame:
 def report(stats: DataFrame) -> DataFrame:
     """Languages and the grand total, which is there for empty input too.
 
-    The total is summed from the languages' rows, and both sides share the one shuffle by language, so the files are
-    read and counted once."""
-    by = language_stats(stats)
-    zero = F.lit(0).cast("long")
-    whole = by.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("files", *STATS)]).withColumn("language", F.lit(TOTAL))
-    return by.unionByName(_shaped(whole))
+    The files are read and counted once: each language's row is taken twice, for itself and for the total, and a row of
+    zeros for the total stands beside them; the second shuffle has two rows for each language and task of the first."""
+    by = stats.groupBy("language").agg(*_sums())
+    twice = by.withColumn("language", F.explode(F.array(F.col("language"), F.lit(TOTAL))))
+    none = stats.sparkSession.range(1).select(F.lit(TOTAL).alias("language"), *[F.lit(0).cast("long").alias(c) for c in ("files", *STATS)])
+    return _shaped(twice.unionByName(none).groupBy("language").agg(*[F.sum(c).alias(c) for c in ("files", *STATS)]))
 
 
 def ignored_count(files: DataFrame, name: str = "name", catalogue: Catalogue | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue, decoding, lexing, naming
 from ..operators import sinks, stats
+from ..sources import files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -187,19 +188,37 @@ def ignored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.ignored(_sources(spark, sf_dir)).select("id", "name")
 
 
-@query()
+_FIELDS = ", ".join(f"'{name}': {column}" for name, column in sinks.FIELDS.items())
+
+
+@query(f"SELECT CAST(to_json({{'Totals': max(CASE WHEN language = 'Total:' THEN {{{_FIELDS}}} END), 'languages': list({{'Language': language, {_FIELDS}}} ORDER BY language) FILTER (WHERE language <> 'Total:')}}) AS VARCHAR) AS report FROM ({_totalled(_WRITTEN)})")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_report(QUERIES["report_with_total"](spark, sf_dir))
 
 
+_PADDED = "rpad(language, CAST(greatest(25, length(language)) AS INT), ' ') || lpad(CAST(files AS VARCHAR), 10, ' ') || " + " || ".join(f"lpad(CAST({c} AS VARCHAR), 15, ' ')" for c in ("blank", "comment", "code", "total"))
+
+
+@query(f"""
+WITH r AS (SELECT language, {_PADDED} AS line FROM ({_totalled(_WRITTEN)})), rule AS (SELECT repeat('-', 109) AS line),
+parts AS (SELECT 0 AS part, '' AS language, line FROM rule UNION ALL SELECT 1, '', 'File Type' || repeat(' ', 21) || 'Files' || lpad('Blank', 15, ' ') || lpad('Comment', 15, ' ') || lpad('Code', 15, ' ') || lpad('Total', 15, ' ')
+          UNION ALL SELECT 2, '', line FROM rule UNION ALL SELECT 3, language, line FROM r WHERE language <> 'Total:'
+          UNION ALL SELECT 4, '', line FROM rule UNION ALL SELECT 5, '', line FROM r WHERE language = 'Total:' UNION ALL SELECT 6, '', line FROM rule)
+SELECT row_number() OVER (ORDER BY part, language) AS line_no, line FROM parts""")
+def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text table, a row for each of its lines."""
+    text = sinks.text_table(QUERIES["report_with_total"](spark, sf_dir))
+    return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines(), 1)], "line_no long, line string")
+
+
 @query(f"SELECT id, language, total, blank, comment, total - blank - comment AS code FROM ({_WRITTEN})")
 def written_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sources as bytes: UTF-8, with a mark, and as UTF-16 of both orders."""
-    files = _sources(spark, sf_dir)
+    written = _sources(spark, sf_dir)
     k = F.col("id") % 4
     wide = F.encode("text", "UTF-16LE")
     content = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), wide)).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
-    return stats.content_stats(files.select("id", "name", content.alias("content"))).select("id", "language", "total", "blank", "comment", "code")
+    return stats.content_stats(written.select("id", "name", content.alias("content"))).select("id", "language", "total", "blank", "comment", "code")
 
 
 # --- names, styles, encodings ---------------------------------------------------------------------------------------
@@ -278,8 +297,8 @@ CONTENTS = (
 def bom_and_binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("s_suppkey") % len(CONTENTS) + 1).cast("int")
     content = F.unhex(F.element_at(F.array(*[F.lit(c[0]) for c in CONTENTS]), k))
-    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name"), content.alias("content"))
-    marked = files.withColumn("mark", decoding.bom("content"))
+    named = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name"), content.alias("content"))
+    marked = named.withColumn("mark", decoding.bom("content"))
     return stats.content_stats(marked).select("s_suppkey", "mark", F.col("total").alias("n"))
 
 
@@ -315,11 +334,92 @@ def newline_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", "s.total", "s.blank", "s.comment")
 
 
-@query()
+# --- a tree of files: one for each customer, in folders by nation, a hidden one among them --------------------------------
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """Write the tree to the folder that driver and executors share, and return its root; it is deleted when the driver ends."""
+    k = F.col("c_custkey")
+    ending = F.when(k % 3 == 0, ".c").when(k % 3 == 1, ".py").otherwise(".unknown")
+    folder = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit(".n"), F.col("c_nationkey").cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/sub/")))
+    mark = F.when(k % 3 == 0, "// ").otherwise("# ")
+    text = F.concat(F.repeat(F.concat(mark, F.col("c_name"), F.lit("\n")), (k % 3).cast("int") + 1), F.repeat(F.lit("x = 1\r\n"), (k % 4).cast("int")), F.repeat(F.lit("\n"), (k % 2).cast("int")))
+    root = files.shared_tree(spark)
+    paths = table(spark, sf_dir, "customer").select(F.concat(folder, F.lit("f"), k.cast("string"), ending).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    files.write_files(paths, root)
+    return root
+
+
+_TREE = """
+SELECT c_custkey AS k, 'f' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.c' WHEN 1 THEN '.py' ELSE '.unknown' END AS name,
+       repeat(CASE c_custkey % 3 WHEN 0 THEN '// ' ELSE '# ' END || c_name || chr(10), CAST(c_custkey % 3 + 1 AS INT)) || repeat('x = 1' || chr(13) || chr(10), CAST(c_custkey % 4 AS INT)) || repeat(chr(10), CAST(c_custkey % 2 AS INT)) AS text
+FROM customer"""
+_TREE_LINES = f"SELECT CASE k % 3 WHEN 0 THEN 'C' ELSE 'Python' END AS language, k % 3 + 1 + k % 4 + k % 2 AS total, k % 2 AS blank, k % 3 + 1 AS comment FROM ({_TREE}) WHERE k % 3 < 2"
+
+
+@query(_totalled(_TREE_LINES))
 def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """This package's own sources, scanned as a directory tree."""
-    import os
+    """A directory tree, listed, opened and counted on executors."""
+    return stats.report(stats.file_stats(files.list_files(spark, _tree(spark, sf_dir))))
+
+
+@query(f"SELECT name, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM ({_TREE})")
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and sizes of all files, hidden folders included."""
+    return files.list_files(spark, _tree(spark, sf_dir)).select("name", "size")
+
+
+@query(f"SELECT name FROM ({_TREE}) WHERE k % 5 = 0")
+def flat_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without recursion: the files of the root alone."""
+    return files.list_files(spark, _tree(spark, sf_dir), recursive=False).select("name")
+
+
+@query(f"SELECT name, sha256(text) AS content_sha256, 'SUCCESS' AS status FROM ({_TREE})")
+def tree_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole contents of all files."""
+    return files.read_contents(files.list_files(spark, _tree(spark, sf_dir))).select("name", F.sha2("content", 256).alias("content_sha256"), "status")
+
+
+@query(f"SELECT count(*) AS ignored FROM ({_TREE}) WHERE k % 3 = 2")
+def ignored_in_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ignored_count(files.list_files(spark, _tree(spark, sf_dir)))
+
+
+#: Arguments of the command line and the exit code or the options they stand for.
+ARGUMENTS = (
+    ("", "exit 0"),
+    ("-help", "exit 0"),
+    ("-?", "exit 0"),
+    ("x", "x plain recursive"),
+    ("x -json", "x json recursive"),
+    ("x -nr", "x plain flat"),
+    ("x -norecurse -json", "x json flat"),
+    ("x -b sync", "x plain recursive failfast"),
+    ("x -backend synchronous", "x plain recursive failfast"),
+    ("x -b tp -threads 7", "x plain recursive threads=7"),
+    ("x -b auto", "x plain recursive"),
+    ("x -b other", "exit 4"),
+    ("x -b", "exit 4"),
+    ("x -threads 0", "exit 4"),
+    ("x -threads 4097", "exit 4"),
+    ("x -threads -1", "exit 4"),
+    ("x -threads", "exit 4"),
+    ("x -odd -v", "x plain recursive verbose"),
+)
+
+
+@query("SELECT n_nationkey, a AS arguments, o AS outcome FROM nation JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{o}')" for i, (a, o) in enumerate(ARGUMENTS)) + ") AS v(i, a, o) ON n_nationkey = i")
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line makes of its arguments: one line of them for each nation, as far as they go."""
+    from .. import cli
 
-    from ..sources import files
+    def outcome(arguments: str) -> str:
+        o = cli.parse(arguments.split())
+        if isinstance(o, int):
+            return f"exit {o}"
+        words = [o["root"], "json" if o["json"] else "plain", "recursive" if o["recursive"] else "flat", *(["failfast"] if o["failfast"] else []), *([f"threads={o['threads']}"] if o["threads"] else []), *(["verbose"] if o["verbose"] else [])]
+        return " ".join(words)
 
-    return stats.report(stats.file_stats(files.list_files(spark, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))))
+    outcomes = spark.createDataFrame([(i, a, outcome(a)) for i, (a, _) in enumerate(ARGUMENTS)], "n_nationkey int, arguments string, outcome string")
+    return table(spark, sf_dir, "nation").select("n_nationkey").join(F.broadcast(outcomes), "n_nationkey")

@@ -127,7 +127,7 @@ def test_command_line(spark, tree, capsys):
     assert cli.main([], spark) == 0 and cli.main(["-h"], spark) == 0
     for bad in (["-b"], ["-b", "Auto"], ["-threads", "0"], ["-threads", "-1"], ["-threads", "x"], ["-threads"], ["-threads", "99999999999"]):
         assert cli.main([str(tree), *bad], spark) == 4
-    assert cli.main([str(tree / "none")], spark) == 1
+    assert cli.main([str(tree / "none")], spark) == 12  # cannot be opened
     capsys.readouterr()
     assert cli.main([str(tree), "-json", "-nr", "-odd", "-b", "tp", "-threads", "2"], spark) == 0
     out = capsys.readouterr().out
@@ -154,3 +154,31 @@ def test_only_text_and_name_are_read(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     df = stats.report(stats.text_stats(pages.select(F.lit("a.html").alias("name"), F.col("html").alias("text"))))
     assert "ReadSchema: struct<html:string>" in df._jdf.queryExecution().toString()
+
+
+def test_deep_and_narrow_trees_are_listed(spark, tmp_path):
+    """One top folder, and more levels than Python recurses."""
+    deep = tmp_path
+    for i in range(60):
+        deep = deep / "d"
+        deep.mkdir()
+        (deep / f"f{i}.c").write_text("x\n")
+    wide = tmp_path / "d" / "w"
+    wide.mkdir()
+    for i in range(300):
+        (wide / f"s{i}").mkdir()
+        (wide / f"s{i}" / "g.py").write_text("")
+    assert files.list_files(spark, str(tmp_path)).count() == 360
+
+
+def test_contents_replace_columns_of_the_same_name(spark, tmp_path):
+    (tmp_path / "a.c").write_text("one")
+    df = spark.createDataFrame([(str(tmp_path / "a.c"), "old"), (str(tmp_path / "none"), "old")], "path string, content string")
+    got = sorted((r["status"], r["content"]) for r in files.read_contents(df).collect())
+    assert got == [("FILE_OPEN_FAILED", None), ("SUCCESS", bytearray(b"one"))]
+
+
+def test_exit_codes_name_the_status():
+    from loomline import cli
+
+    assert [cli.status_of(Exception(f"{x}: /a")) for x in ("PATH_NORMALIZATION", "DIR_ENUM_FAILED", "FILE_READ_FAILED", "other")] == [5, 16, 15, 19]

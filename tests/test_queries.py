@@ -34,3 +34,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 2
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, scans", [("report_with_total", 1), ("xml_page_lines", 1), ("written_contents", 1), ("grand_total", 1)])
+def test_tables_are_read_once(spark, name, scans):
+    """No query lexes its input twice."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == scans
