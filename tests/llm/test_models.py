@@ -371,9 +371,19 @@ def test_gradients_are_those_of_the_loss():
             assert g[i] == pytest.approx((up - down) / (2 * step), abs=2e-4), (name, i)
 
 
-def test_replicas_are_averaged_in_a_tree(spark):
-    w = lm.new_weights(np.ones(lm.CLASSES))
-    rows = [(i, bytearray(lm.pack({k: np.full_like(v, i) for k, v in w.items()})), 1 + i % 2) for i in range(40)]
-    raw, n = lm.averaged(spark.createDataFrame(rows, "part long, weights binary, n long"))
-    want = sum(i * (1 + i % 2) for i in range(40)) / 60
-    assert n == 60 and all(np.allclose(v, want, rtol=1e-5) for v in lm.unpack(bytes(raw), w).values())
+def test_statistics_are_those_of_the_output_layer():
+    w, x, into, label, *_ = small()
+    real, target = into != lm.PAD, label[lm.STRIDE :]
+    sums = lm.curvature(w, x, real, target)
+    wide, classes, n = lm.WIDTH + 1, len(w["b"]), int((target >= 0).sum())
+    grads, _ = lm.gradients(w, x, real, target)
+    g = sums[: wide * classes].reshape(wide, classes)
+    assert sums[-1] == n and np.allclose(g[:-1], -grads["u"] * n, atol=1e-4) and np.allclose(g[-1], -grads["b"] * n, atol=1e-4)
+    loss = lambda w: -lm.log_classes(w, x, real, target).sum()
+    assert loss(lm.stepped(w, lm.newton(w, sums), 0.5)) < loss(w)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = [{r["doc_id"]: r["score"] for r in lm.scored(docs.repartition(n), vocabulary(TOKENIZER), common.fold("doc_id", 10) != 0).collect()} for n in (1, 5)]
+    assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-5) for k in got[0])
