@@ -274,10 +274,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, doc_id: str
     common.ship(spark)
     with open(tokenizer, "rb") as f:
         raw = f.read()
-    spec, key = spark.sparkContext.broadcast(raw), "library " + hashlib.sha256(raw).hexdigest()
+    spec, model = spark.sparkContext.broadcast(raw), "library " + hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = common.resident(key, lambda: Library(spec.value))
+        library = common.resident(model, lambda: Library(spec.value))
         width = 2 if max(library.lib.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         end = np.uint32(end_id).tobytes()
         task = TaskContext.get()
