@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import posixpath
+import string
 import struct
 import unicodedata
 import zlib
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from . import bpe, common
 
 BLOCK = 64 * 1024
+TAIL = string.punctuation.encode()
 BITS_PER_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")
 MAGIC = b"LOOMSST1"
@@ -195,7 +197,7 @@ class Library:
     """The tokenizers library, asked once for each distinct chunk of text.
 
     Under the normalizers and pre-tokenizers of bpe.FORM, pre-tokens never span ASCII white space, and ASCII case and a tail of
-    full stops or commas behind an ASCII letter change nothing but their own pre-tokens, so whole texts are put together from the ids
+    ASCII punctuation behind a letter or digit change nothing but their own pre-tokens, so whole texts are put together from the ids
     of their chunks; a chunk that is one run of letters is one pre-token, and goes to the library's model without the
     steps before it. With any other tokenizer whole texts are encoded."""
 
@@ -211,46 +213,49 @@ class Library:
         d = json.loads(spec)
         steps = tuple([x["type"] for x in (d.get(a) or {}).get(b, [])] for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
         self.in_chunks = steps == bpe.FORM
-        self.letters = bpe.byte_letters()
+        self.letters = "".join(bpe.byte_letters())
         self.chunks = bpe.Remembered()
         self.cores: dict[bytes, bytes] = {}
         self.remember = remember
 
     def _pretoken(self, core: bytes) -> str | None:
         """The one pre-token of a core that is a run of letters, in byte letters; None for other cores."""
-        if core.isalpha():
-            return core.decode().lower()
         text = core.decode("utf-8", "replace")
         low = text.lower()
         if low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
-            return "".join(map(self.letters.__getitem__, low.encode()))
+            return low.encode().decode("latin-1").translate(self.letters)
         return None
 
-    def _split(self, chunk: bytes) -> tuple[bytes, bytes]:
-        if self.open in chunk:
-            return chunk, b""
-        low = chunk.lower()
-        core = low.rstrip(b".,")
-        return (core, low[len(core) :]) if core and 97 <= core[-1] <= 122 else (low, b"")
-
     def learn(self, missing: list[bytes]) -> list[bytes]:
-        parts = [self._split(c) for c in missing]
-        new = list({x for p in parts for x in p if x and x not in self.cores})
-        if len(self.cores) + len(new) > self.remember:
-            self.cores.clear()
-            new = list({x for p in parts for x in p if x})
-        tokenize, mixed = self.lib.model.tokenize, []
-        for w in new:
-            one = self._pretoken(w)
-            if one is None:
-                mixed.append(w)
+        cores, tokenize, packed = self.cores, self.lib.model.tokenize, bpe.packed
+        if len(cores) + len(missing) > self.remember:
+            cores.clear()
+        parts, mixed, opened, pretoken = [], {}, self.open, self._pretoken
+        for chunk in missing:
+            low = chunk.lower()
+            core = low.rstrip(TAIL)
+            if opened in chunk:
+                core, tail, one = chunk, b"", None
+            elif core.isalpha():  # ASCII letters: what most chunks are
+                tail, one = low[len(core) :], core.decode()
             else:
-                self.cores[w] = bpe.packed([t.id for t in tokenize(one)])
+                tail, one = low[len(core) :], pretoken(core)
+                if one is None and not core[-1:].isalnum():  # nothing known ends where the tail begins
+                    core, tail = low, b""
+            if core not in cores:
+                if one is None:
+                    mixed[core] = None
+                else:
+                    cores[core] = packed([t.id for t in tokenize(one)])
+            if tail and tail not in cores:
+                mixed[tail] = None
+            parts.append((core, tail))
+        mixed = list(mixed)
         for a in range(0, len(mixed), 2000):
             some = mixed[a : a + 2000]
-            for w, e in zip(some, self.lib.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.cores[w] = bpe.packed(e.ids)
-        return [self.cores[a] + (self.cores[b] if b else b"") for a, b in parts]
+            for w, e in zip(some, self.lib.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                cores[w] = packed(e.ids)
+        return [cores[a] + cores[b] if b else cores[a] for a, b in parts]
 
     def encode(self, text: bytes) -> bytes:
         if not self.in_chunks:

@@ -42,7 +42,8 @@ def test_chunks_of_the_library_equal_whole_texts(library):
     assert lib.in_chunks
     r = random.Random(4)
     texts = ["ÉTÉ, ÉTÉ. e\u0301 ΑΣ Σ. İ. ßẞ ŉ ﬁ Ǆ", "<|ENDOFTEXT|> <|endoftext|>. a<|x", "don't. o'ce x'S", "ab1. 1, a_b ..a a.,b,"]
-    texts += ["".join(r.choice("aeiouthsrn   'sdmlvé1.,#İΣÉ́ßA") for _ in range(r.randint(1, 60))) for _ in range(1500)]
+    texts += ["don'!! x's$$$ é&&& é*** ΑΣ!! 1%% ab1%% a—!! .. a! (b)) ### a<| b<|! 가?!"]
+    texts += ["".join(r.choice("aeiouthsrn   'sdmlvé1.,#!$<|İΣÉ́ßA") for _ in range(r.randint(1, 60))) for _ in range(1500)]
     for t in texts:
         assert np.frombuffer(lib.encode(t.encode()), "<u4").tolist() == ids_of(library, t), t
     other = sst.Library(open(vocabulary("byte_bpe_50k.json"), "rb").read())
