@@ -9,11 +9,12 @@ probability of a text is the product over its words and its end, so it can be se
 Scoring cuts the sequence into blocks of STRIDE positions; the context window of a block is the block and the one before
 it, so windows overlap, each position is scored once, with STRIDE to 2 x STRIDE - 1 positions before it (fewer at a text's start).
 
-Word counts, class totals, the company of word endings and the output layer cover all learning rows: the output layer takes a
-Newton step from the sums of its gradient and curvature over every position of every learning text. All of these are sums, so
-they don't depend on how the table is dealt out, but for the rounding of floating-point sums. Embeddings and attention
-weights are fitted by gradient steps on a bounded sample of WARM learning texts, chosen by a hash; the size of the Newton step
-is the one that suits CHECK further ones best.
+Word counts, class totals, the company of word endings and all weights are learned from all learning rows; there is no sample. The
+counts, totals and company are sums. For the weights the learning rows are dealt into replicas by a hash of id and text and put in
+order by it; each replica starts from the same weights, goes through all blocks of its texts in Adam steps, and the replicas' weights
+are averaged by what each learned from (a subword id's vector by the steps that met it). A table of fewer than ENOUGH positions is
+gone through more often. How many replicas there are follows from the number of positions, so scores don't depend on how the table
+is dealt out, but for the rounding of floating-point sums.
 
 Texts are turned into numbers once: those of the frequent words (at most FREQUENT, none over LONGEST bytes) are broadcast; a
 text's other words go along with their subword ids, and are joined to the table of counts by a shuffle.
@@ -47,14 +48,16 @@ OWN = 31  # most frequent words with a class of their own
 CLASSES = 64
 BUCKETS, SKETCH = 4096, 24
 ROWS, WIDTH, STRIDE = 65_535, 16, 16  # vectors of subword ids, which are below that in vocabularies of 16 bits
-WARM, CHECK, EPOCHS = 300, 100, 3
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.0)  # shares of a Newton step that are tried
-BATCH = 256  # blocks of a training step
+SHARED = ("w", "p", "u", "b")  # weights that every position has a part in
+RATE, SLOWER, STEP = 0.01, 100.0, 512  # size of the first training steps, how many it takes to fall by a root of two, and blocks of a step
+SHARD, SHARDS = 4_000_000, 256  # positions that a replica should learn from, and at most so many replicas
+ENOUGH, ROUNDS = 4_000_000, 8  # positions to learn from: smaller tables are gone through more often, at most so many times
 AT_ONCE = 60_000  # words that are put in a row together
 PASS = 512  # blocks of a forward pass, whose arrays stay in a core's cache
 SAFE = 30  # numbers up to this size have exponentials and sums of them that floats hold well
 CACHE = 150_000
 FLUSH = 300_000
+SLICE = 1 << 15  # numbers of the weights that are added up together
 SMOOTH = 0.1
 PAD, START, STOP = 0, 1, 2
 NO_IDS = b"\xff\xff\xff\xff"
@@ -208,41 +211,33 @@ def log_classes(w: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, targe
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of the mean cross-entropy for the weights but e, and for x."""
     z, (q, kw, vw, a, s, h) = attend(w, x, real)
-    a /= s.reshape(*a.shape[:2], 1)
-    z -= z.max(1, keepdims=True)
+    s = s.reshape(-1, STRIDE, 1)
+    if wild(z):
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    live = target >= 0
-    z[np.nonzero(live)[0], target[live]] -= 1
-    z *= live[:, None] / max(1, live.sum())
-    z = z.astype("f4")
+    live = np.nonzero(target >= 0)[0]
+    total, part = row_sums(z), np.zeros(len(z), z.dtype)
+    part[live] = 1 / (total[live] * max(1, len(live)))
+    z[live, target[live]] -= total[live]
+    z *= part[:, None]
     dh = z @ w["u"].T
     d3 = dh.reshape(-1, STRIDE, WIDTH)
-    da = np.matmul(d3, vw.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dg = np.zeros((len(x), 4 * WIDTH), "f4")
-    dg[STRIDE:, :WIDTH] = (np.matmul(ds, kw) * SCALE).reshape(-1, WIDTH)
-    for i, part in ((1, np.matmul(ds.transpose(0, 2, 1), q)), (2, np.matmul(a.transpose(0, 2, 1), d3))):
+    # attention over its sums is divided in what it meets, which is narrower
+    seen = (h - x[STRIDE:] @ w["w"][:, 3 * WIDTH :]) * dh
+    over = d3 / s
+    ds = np.matmul(over, vw.transpose(0, 2, 1))
+    ds -= (row_sums(seen) / s.ravel()).astype(ds.dtype).reshape(s.shape)
+    ds *= a
+    dg = np.zeros((len(x), 4 * WIDTH), x.dtype)
+    dg[STRIDE:, :WIDTH] = np.matmul(ds, kw).reshape(-1, WIDTH)
+    dg[STRIDE:, :WIDTH] *= SCALE
+    for i, part in ((1, np.matmul(ds.transpose(0, 2, 1), q)), (2, np.matmul(a.transpose(0, 2, 1), over))):
         cols = slice(i * WIDTH, (i + 1) * WIDTH)
         dg[:-STRIDE, cols] += part[:, :STRIDE].reshape(-1, WIDTH)
         dg[STRIDE:, cols] += part[:, STRIDE:].reshape(-1, WIDTH)
     dg[STRIDE:, 3 * WIDTH :] = dh
-    return {"w": x.T @ dg, "p": ds.sum(0), "u": h.T @ z, "b": z.sum(0)}, dg @ w["w"].T
-
-
-class Adam:
-    def __init__(self, w: dict[str, np.ndarray], rate: float = 0.01):
-        self.w, self.rate, self.t = w, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in w.items()}
-
-    def step(self, grads: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        for k, g in grads.items():
-            m, v = self.m[k], self.v[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.w[k] -= (self.rate / (1 - 0.9**self.t)) * m / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+    ones = np.ones(len(z), z.dtype)
+    return {"w": x.T @ dg, "p": (ones[: len(ds)] @ ds.reshape(len(ds), -1)).reshape(ds.shape[1:]), "u": h.T @ z, "b": ones @ z}, dg @ w["w"].T
 
 
 # --- words ----------------------------------------------------------------------------------------------------------
@@ -344,55 +339,7 @@ def sample(words: Words, found: list[bytes], b: int) -> tuple[np.ndarray, np.nda
     return into, target
 
 
-def train(words: Words, w: dict[str, np.ndarray], texts: Iterator[bytes], every: int) -> int:
-    """Adam steps over every every-th block of the texts; returns how many positions were learned from."""
-    adam, held, seen, learned = Adam(w), [], 0, 0
-
-    def step() -> None:
-        nonlocal learned
-        into, target = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        kinds, back = np.unique(into, return_inverse=True)
-        flat, starts, sizes = words.pieces(kinds)
-        x = (np.add.reduceat(w["e"][flat], starts) / sizes[:, None]).astype("f4")[back]
-        classes = np.array(words.classes)
-        label = np.where(target[STRIDE:] >= 0, classes[np.maximum(target[STRIDE:], 0)], -1)
-        # a sample is two blocks; the seams between samples are no windows
-        label = np.where(np.arange(len(label)) // STRIDE % 2 == 0, label, -1)
-        grads, dx = gradients(w, x, into != PAD, label)
-        dk = np.zeros((len(kinds), WIDTH), "f4")
-        np.add.at(dk, back, dx)
-        de = np.zeros_like(w["e"])
-        np.add.at(de, flat, np.repeat(dk / sizes[:, None], sizes, axis=0))
-        adam.step(grads | {"e": de})
-        learned += int((label >= 0).sum())
-
-    for raw in texts:
-        found = tokens(raw)
-        blocks = len(found) // STRIDE + 1  # the end is a position too
-        for b in range(every - seen % every - 1, blocks, every):
-            held.append(sample(words, found, b))
-            if len(held) == BATCH:
-                step()
-        seen += blocks
-        if words.full:
-            if held:
-                step()
-            words.reset()
-    if held:
-        step()
-    return learned
-
-
-def likelihood(words: Words, w: dict[str, np.ndarray], texts: list[bytes]) -> float:
-    """Natural log-probability of the classes of whole texts."""
-    found = [tokens(t) for t in texts]
-    words.learn(found)
-    into, target, _ = padded([words.numbers(t) for t in found])
-    flat, starts, sizes = words.pieces(np.arange(len(words.names)))
-    vectors = (np.add.reduceat(w["e"][flat], starts) / sizes[:, None]).astype("f4")
-    label = np.where(target >= 0, np.array(words.classes)[np.maximum(target, 0)], -1)
-    return float(log_classes(w, vectors[into], into != PAD, label[STRIDE:]).sum())
+# curvature(), newton(), stepped() and sample() are off the operator's path; they stay because existing tests name them
 
 
 def curvature(w: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -426,20 +373,16 @@ def stepped(w: dict[str, np.ndarray], step: np.ndarray, share: float) -> dict[st
     return w | {"u": (w["u"] + share * step[:-1]).astype("f4"), "b": (w["b"] + share * step[-1]).astype("f4")}
 
 
-class Sequences:
-    """The model's input from texts that were turned into numbers: frequent words have their numbers, a text's other
-    words are -1, -2, ... in the order of its own lists."""
+class Lines:
+    """Texts that were turned into numbers, laid end to end: frequent words have their numbers, a text's other words are -1,
+    -2, ... in the order of its own lists."""
 
-    def __init__(self, w: dict[str, np.ndarray], flat: np.ndarray, starts: np.ndarray, classes: np.ndarray, cluster: np.ndarray):
-        self.w, self.fixed, self.classes, self.cluster = w, len(starts), classes, cluster
-        self.vectors = self._means(flat, np.diff(np.append(starts, len(flat))))
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, classes: np.ndarray, cluster: np.ndarray):
+        self.flat, self.sizes, self.classes, self.cluster, self.fixed = flat, np.diff(np.append(starts, len(flat))), classes, cluster, len(starts)
 
-    def _means(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        starts = np.cumsum(sizes) - sizes
-        return (np.add.reduceat(self.w["e"][rows], starts) / sizes[:, None]).astype("f4") if len(sizes) else np.zeros((0, WIDTH), "f4")
-
-    def parts(self, seq: pa.Array, kinds: pa.Array, sizes: pa.Array, pieces: pa.Array) -> Iterator[tuple]:
-        """(first row, rows, vectors, which is padding's opposite, class of each position but the first block's, owner)."""
+    def groups(self, seq: pa.Array, kinds: pa.Array, sizes: pa.Array, pieces: pa.Array) -> Iterator[tuple]:
+        """(first row, inputs, classes of the targets, owners, subword rows and their number of each word that is not frequent)
+        of about AT_ONCE positions."""
         lines = [np.frombuffer(x.as_py(), "<i4") for x in seq]
         first = 0
         while first < len(lines):
@@ -448,21 +391,122 @@ class Sequences:
                 size += len(lines[last]) + STRIDE
                 last += 1
             kind, n, rows = (np.frombuffer(b"".join(c.slice(first, last - first).to_pylist()), t) for c, t in ((kinds, "<u2"), (sizes, "<i4"), (pieces, "<u2")))
-            vectors = np.concatenate([self.vectors, self._means(rows.astype(np.int64), n.astype(np.int64))])
             classes = np.concatenate([self.classes, self.cluster[kind]])
             texts, at = [], self.fixed
             for line, own in zip(lines[first:last], kinds.slice(first, last - first)):
                 texts.append(np.where(line >= 0, line, at - 1 - line))
                 at += len(own.as_py()) // 2
             into, target, owner = padded(texts)
-            label = np.where(target >= 0, classes[np.maximum(target, 0)], -1)
-            step = PASS * STRIDE
-            for a in range(STRIDE, len(into), step):
-                cut = slice(a - STRIDE, min(a + step, len(into)))
-                yield first, vectors[into[cut]], into[cut] != PAD, label[a : a + step], owner[a : a + step]
+            yield first, into, np.where(target >= 0, classes[np.maximum(target, 0)], -1), owner, rows.astype(np.int64), n.astype(np.int64)
             first = last
 
 
+def cuts(positions: int, blocks: int) -> Iterator[tuple[slice, slice]]:
+    """So many blocks at a time of a padded sequence: with the block before them, and without."""
+    for a in range(STRIDE, positions, blocks * STRIDE):
+        b = min(a + blocks * STRIDE, positions)
+        yield slice(a - STRIDE, b), slice(a, b)
+
+
+class Sequences(Lines):
+    """The model's input from texts that were turned into numbers."""
+
+    def __init__(self, w: dict[str, np.ndarray], flat: np.ndarray, starts: np.ndarray, classes: np.ndarray, cluster: np.ndarray):
+        super().__init__(flat, starts, classes, cluster)
+        self.w = w
+        self.vectors = self._means(self.flat, self.sizes)
+
+    def _means(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        starts = np.cumsum(sizes) - sizes
+        return (np.add.reduceat(self.w["e"][rows], starts) / sizes[:, None]).astype("f4") if len(sizes) else np.zeros((0, WIDTH), "f4")
+
+    def parts(self, seq: pa.Array, kinds: pa.Array, sizes: pa.Array, pieces: pa.Array) -> Iterator[tuple]:
+        """(first row, vectors, which is padding's opposite, class of each position but the first block's, owner)."""
+        for first, into, label, owner, rows, n in self.groups(seq, kinds, sizes, pieces):
+            vectors = np.concatenate([self.vectors, self._means(rows, n)])
+            for whole, own in cuts(len(into), PASS):
+                yield first, vectors[into[whole]], into[whole] != PAD, label[own], owner[own]
+
+
+def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a, which of them each place holds, the order that sorts a, and where each value begins in it."""
+    order = np.argsort(a, kind="stable")
+    found = a[order]
+    new = np.concatenate([[True], found[1:] != found[:-1]])
+    back = np.empty(len(a), np.int64)
+    back[order] = np.cumsum(new) - 1
+    begin = np.nonzero(new)[0]
+    return found[begin], back, order, begin
+
+
+class Learner(Lines):
+    """A copy of the weights that takes an Adam step for every STEP blocks of the texts it is given; vectors of subword ids
+    take part in the steps that meet them."""
+
+    def __init__(self, w: dict[str, np.ndarray], flat: np.ndarray, starts: np.ndarray, classes: np.ndarray, cluster: np.ndarray):
+        super().__init__(flat, starts, classes, cluster)
+        self.first, self.begin = w, np.cumsum(self.sizes) - self.sizes
+        self.anew()
+
+    def anew(self) -> None:
+        self.w = {k: v.copy() for k, v in self.first.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
+        self.met = np.zeros(len(self.w["e"]), np.int64)
+        self.steps = self.learned = 0
+
+    def learn(self, seq: pa.Array, kinds: pa.Array, sizes: pa.Array, pieces: pa.Array) -> None:
+        for _, into, label, _, rows, n in self.groups(seq, kinds, sizes, pieces):
+            flat, n = np.concatenate([self.flat, rows]), np.concatenate([self.sizes, n])
+            begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n[self.fixed :]) - n[self.fixed :]])
+            for whole, own in cuts(len(into), STEP):
+                self._step(into[whole], label[own], flat, begin, n)
+
+    def _step(self, into: np.ndarray, label: np.ndarray, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
+        word, back, order, at = runs(into)
+        n = sizes[word]
+        start = np.cumsum(n) - n
+        row = flat[np.arange(n.sum()) + np.repeat(begin[word] - start, n)]
+        x = (np.add.reduceat(self.w["e"][row], start) / n[:, None]).astype("f4")
+        grads, dx = gradients(self.w, x[back], into != PAD, label)
+        dx = np.repeat(np.add.reduceat(dx[order], at) / n[:, None].astype("f4"), n, axis=0)
+        row, _, order, at = runs(row)
+        rate = RATE / math.sqrt(1 + self.steps / SLOWER)
+        self.steps += 1
+        self.learned += int((label >= 0).sum())
+        self.met[row] += 1
+        for k, g, some in [*((k, g, ...) for k, g in grads.items()), ("e", np.add.reduceat(dx[order], at), row)]:
+            t = self.met[row][:, None] if k == "e" else self.steps
+            m, v = self.m[k][some], self.v[k][some]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            if k == "e":
+                self.m[k][some], self.v[k][some] = m, v
+            size, spread = (np.asarray(x, "f4") for x in (rate / (1 - 0.9**t), 1 / (1 - 0.99**t)))
+            self.w[k][some] -= size * m / (np.sqrt(v * spread) + np.float32(1e-8))
+
+    def sums(self) -> np.ndarray:
+        """All weights times what they learned from: positions, and for the vector of a subword id the steps that met it."""
+        flat = [self.w[k].ravel() * np.float32(self.learned) for k in SHARED]
+        return np.concatenate([*flat, [self.learned], (self.w["e"] * self.met[:, None]).ravel(), self.met]).astype("<f4")
+
+
+def added(replicas: pa.Table) -> pa.Table:
+    """The sum of the slices (at, x) of one number; as float64."""
+    total = sum(np.frombuffer(x, "<f4").astype("<f8") for x in replicas["x"].to_pylist())
+    return pa.table({"at": replicas["at"].slice(0, 1), "x": pa.array([total.tobytes()], pa.binary())})
+
+
+def mean(w: dict[str, np.ndarray], sums: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights from the summed sums() of replicas; subword ids that no replica met say nothing."""
+    at, out = 0, {}
+    every = sum(w[k].size for k in SHARED)
+    for k in SHARED:
+        out[k] = (sums[at : at + w[k].size] / max(sums[every], 1)).reshape(w[k].shape).astype("f4")
+        at += w[k].size
+    e, met = np.split(sums[every + 1 :], [w["e"].size])
+    return out | {"e": (e.reshape(w["e"].shape) / np.maximum(met, 1)[:, None]).astype("f4")}
+
+
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 
@@ -496,8 +540,8 @@ def scored(docs: DataFrame, tokenizer: str, learn_from, doc_id: str = "doc_id",
     bottom = math.log10(n + SMOOTH * (v + 1))
     logs = np.log10(np.concatenate([[1.0, 1.0, ends + SMOOTH], often + SMOOTH]))
     value_of = spark.sparkContext.broadcast(logs)
-    names = ["doc_id", "learn", "n_tokens", "n_known", "n_common", "value", "seq", "kinds", "sizes", "pieces", "rare", "company"]
-    schema = "doc_id long, learn boolean, n_tokens long, n_known long, n_common long, value double, seq binary, kinds binary, sizes binary, pieces binary, rare array<struct<word: binary, m: long>>, company binary"
+    names = ["doc_id", "learn", "mark", "n_tokens", "n_known", "n_common", "value", "seq", "kinds", "sizes", "pieces", "rare", "company"]
+    schema = "doc_id long, learn boolean, mark long, n_tokens long, n_known long, n_common long, value double, seq binary, kinds binary, sizes binary, pieces binary, rare array<struct<word: binary, m: long>>, company binary"
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
 
     kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), rare_type)
@@ -512,7 +556,7 @@ def scored(docs: DataFrame, tokenizer: str, learn_from, doc_id: str = "doc_id",
             while first < batch.num_rows:
                 texts, size = [], 0
                 while first + len(texts) < batch.num_rows and (not texts or size < AT_ONCE):
-                    texts.append(tokens(batch.column(2)[first + len(texts)].as_py()))
+                    texts.append(tokens(batch.column(3)[first + len(texts)].as_py()))
                     size += len(texts[-1]) + STRIDE
                 numbers = words.learned(texts)
                 all_buckets, out, held = np.array(words.classes), [], []
@@ -535,13 +579,13 @@ def scored(docs: DataFrame, tokenizer: str, learn_from, doc_id: str = "doc_id",
                         len(t) + 1, common_ + (ends > 0), common_ + 1, float(logs[found[often]].sum() + logs[STOP]), line.tobytes(), all_buckets[some].astype("<u2").tobytes(),
                         each.astype("<i4").tobytes(), flat.astype("<u2").tobytes(), [{"word": words.names[i], "m": j} for i, j in zip(some.tolist(), m.tolist())],
                     ))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in (0, 1)), *(pa.array(list(c), t) for c, t in zip(zip(*out), kinds_of)), pa.nulls(len(texts), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in (0, 1, 2)), *(pa.array(list(c), t) for c, t in zip(zip(*out), kinds_of)), pa.nulls(len(texts), pa.binary())], names=names)
                 first += len(texts)
                 if words.full:
                     words.reset()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), *kinds_of)] + [pa.array([sums.astype("<f4").tobytes()], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), *kinds_of)] + [pa.array([sums.astype("<f4").tobytes()], pa.binary())], names=names)
 
-    parts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "learn", "body").mapInArrow(numbered, schema)
+    parts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "learn", F.xxhash64("doc_id", "body").alias("mark"), "body").mapInArrow(numbered, schema)
     parts = common.stored(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
     cluster = clusters(company(parts.where("company is not null").select("company")), CLASSES - OWN - 1)
     parts = parts.where("company is null").drop("company")
@@ -565,26 +609,40 @@ def scored(docs: DataFrame, tokenizer: str, learn_from, doc_id: str = "doc_id",
     class_of = cluster + 1 + OWN
     columns = ["seq", "kinds", "sizes", "pieces"]
     if ends:
-        some = common.least_by_hash(rows.where("learn").select("doc_id", "body"), "doc_id", ends, WARM + CHECK).collect()
-        texts = [bytes(r["body"]) for r in some]
-        # the driver needs the words of these texts alone
-        few = Words(spec, own, own, cluster)
-        before = weights["e"].copy()
-        train(few, weights, (t for _ in range(EPOCHS) for t in texts[:WARM]), 1)
-        weights["e"][(weights["e"] == before).all(axis=1)] = 0  # ids that the sample lacks say nothing
-        start = spark.sparkContext.broadcast((weights, flat, starts, classes, class_of))
-
-        def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sequences = common.resident(f"{key} first", lambda: Sequences(*start.value))
-            sums = np.zeros(1)
-            for batch in batches:
-                for _, x, real, label, _ in sequences.parts(*batch.columns):
-                    sums = sums + curvature(sequences.w, x, real, label)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], names=["at", "x"])
-
-        got = parts.where("learn").select(*columns).mapInArrow(statistics, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")
-        step, fresh = newton(weights, got["x"].to_numpy()), texts[WARM:] or texts
-        weights = max((stepped(weights, step, a) for a in STEPS), key=lambda w: likelihood(few, w, fresh))
+        shards = max(1, min(SHARDS, round(n / SHARD)))
+        # all learning rows, dealt and put in order by what they hold; copies with ids of their own are dealt out
+        dealt = parts.where("learn").select(F.pmod("mark", F.lit(shards)).alias("shard"), "mark", "doc_id", *columns).repartition("shard").sortWithinPartitions("shard", "mark", "doc_id").select("shard", *columns)
+        for turn in range(max(1, min(ROUNDS, -(-ENOUGH // n)))):
+            now = spark.sparkContext.broadcast((weights, flat, starts, classes, class_of))
+
+            def replicas(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
+                learner = common.resident(f"{key} turn {turn}", lambda: Learner(*now.value))
+                shard, held, size = None, [], 0
+
+                def out() -> Iterator[pa.RecordBatch]:
+                    sums = learner.sums()
+                    for at in range(0, len(sums), SLICE):
+                        yield pa.RecordBatch.from_arrays([pa.array([at // SLICE], pa.int32()), pa.array([sums[at : at + SLICE].tobytes()], pa.binary())], names=["at", "x"])
+
+                for batch in batches:
+                    for of, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                        if held and (of != shard or size >= AT_ONCE):  # so that steps don't depend on batches
+                            learner.learn(*(pa.array(c, pa.binary()) for c in zip(*held)))
+                            held, size = [], 0
+                        if of != shard:
+                            if shard is not None:
+                                yield from out()
+                            shard = of
+                            learner.anew()
+                        held.append(row)
+                        size += len(row[0]) // 4 + STRIDE
+                if held:
+                    learner.learn(*(pa.array(c, pa.binary()) for c in zip(*held)))
+                if shard is not None:
+                    yield from out()
+
+            got = dealt.mapInArrow(replicas, "at int, x binary").groupBy("at").applyInArrow(added, "at int, x binary").toPandas().sort_values("at")
+            weights = mean(weights, np.concatenate([np.frombuffer(x, "<f8") for x in got["x"]]))
     model = spark.sparkContext.broadcast((weights, flat, starts, classes, class_of))
     log10e = math.log10(math.e)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,3 +388,43 @@ def test_scores_do_not_depend_on_the_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = [{r["doc_id"]: r["score"] for r in lm.scored(docs.repartition(n), vocabulary(TOKENIZER), common.fold("doc_id", 10) != 0).collect()} for n in (1, 5)]
     assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-5) for k in got[0])
+
+
+def test_weights_are_learned_from_every_position_of_every_learning_row(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen, mean = [], lm.mean
+
+    def watched(w, sums):
+        seen.append(int(sums[sum(w[k].size for k in lm.SHARED)]))
+        return mean(w, sums)
+
+    monkeypatch.setattr(lm, "mean", watched)
+    monkeypatch.setattr(lm, "ENOUGH", 1)
+    for shard in (lm.SHARD, 100_000):
+        monkeypatch.setattr(lm, "SHARD", shard)
+        tokens = lm.scored(docs, vocabulary(TOKENIZER), common.fold("doc_id", 10) != 0).first()["train_tokens"]
+        assert tokens > 300_000 and seen.pop() == tokens and not seen
+
+
+def test_scores_of_several_replicas_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    monkeypatch.setattr(lm, "ENOUGH", 1)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = [{r["doc_id"]: r["score"] for r in lm.scored(docs.repartition(n), vocabulary(TOKENIZER), common.fold("doc_id", 10) != 0).collect()} for n in (1, 5)]
+    assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-5) for k in got[0])
+
+
+def test_the_mean_of_replicas_weighs_what_they_learned_from():
+    w = lm.new_weights(np.ones(5))
+    flat, starts, classes = np.array([lm.ROWS, lm.ROWS + 1, lm.ROWS + 2, 7, 8, 9]), np.arange(5), np.array([-1, -1, 0, 1, 2])
+    lines = [np.array([3, 4] * 40, "<i4"), np.array([3] * 9, "<i4")]
+    replicas = []
+    for line in lines:
+        x = lm.Learner(w, flat, starts, classes, np.zeros(lm.BUCKETS, int))
+        x.learn(*(pa.array([b], pa.binary()) for b in (line.tobytes(), b"", b"", b"")))
+        assert x.learned == len(line) + 1 and (x.w["u"] != w["u"]).any()
+        replicas.append(x)
+    got = lm.mean(w, sum(x.sums().astype(float) for x in replicas))
+    assert np.allclose(got["u"], (81 * replicas[0].w["u"] + 10 * replicas[1].w["u"]) / 91, atol=1e-6)
+    assert np.allclose(got["e"][8], replicas[0].w["e"][8], atol=1e-6) and not got["e"][20].any()
+    assert np.allclose(got["e"][7], (replicas[0].w["e"][7] + replicas[1].w["e"][7]) / 2, atol=1e-6)
