@@ -1,9 +1,11 @@
 """Near-duplicates by similarity: all pairs of shingle sets whose Jaccard similarity reaches the bound, by verified links.
 
-A radius that takes in a similarity of 0.8 (about 11 of 64 SimHash bits) is beyond what the triangle bounds of vantage-point
-trees can prune, so pairs are found another way. Candidates share one of HASH_BANDS keys, each of HASH_ROWS minima over the set
-of shingles (MinHash): a pair of similarity 0.8 shares none with a chance of 1.3e-7, whatever the sizes. Every link is
-checked by the true Jaccard similarity of the two sets, so no pair below the bound is linked.
+Candidates come from SimHash through vantage-point trees: TABLES fingerprints of 32 bits a set, searched within RADIUS bits by the
+trees of simhash.links, which prune at that radius. They return a spanning forest, so not every pair of similarity 0.8 comes from
+there (a table meets such a pair with a chance of about 0.12, one of 0.9 with 0.34, by calculation). The rest come from MinHash:
+rows that share one of HASH_BANDS keys, each of HASH_ROWS minima over the set of shingles; a pair of similarity 0.8 shares none
+with a chance of 1.3e-7, whatever the sizes. Every link is checked by the true Jaccard similarity of the two sets, so no pair
+below the bound is linked.
 
 Of the rows of a key, all are first compared with one of them, and components are taken of the links found. A key whose rows
 are then in one component is done; of the others all pairs across components are compared, first by sizes and by a bitmap of
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import components
+from .simhash import components, links
 
 ROUNDS = 32
 WIDE = 64 * ROUNDS
 BAND = 20
 BANDS = 51
 HASH_ROWS, HASH_BANDS = 5, 40
+TABLES, RADIUS = 8, 2  # SimHashes of 32 bits of a set, and in how many bits those of near copies may differ in the search
 PARITY = 2048  # bits
 BLOCK = 512  # rows of a key that are compared at once
 CHUNK = 8192  # documents of which a task sends one for each set
@@ -50,11 +53,11 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, parts), "<u8", max(1, len(found) - words + 1)))
 
 
-def wide(hashes: np.ndarray) -> bytes:
-    """SimHash of a set in WIDE bits: each hash is mixed ROUNDS times."""
-    sums = np.zeros(WIDE, np.int64)
+def wide(hashes: np.ndarray, rounds: int = ROUNDS) -> bytes:
+    """SimHash of a set in WIDE bits, or 64 for each of fewer rounds: each hash is mixed so many times."""
+    sums = np.zeros(64 * rounds, np.int64)
     for a in range(0, len(hashes), 255):  # so many ones fit a byte
-        x = hashes[a : a + 255, None] + _ADD
+        x = hashes[a : a + 255, None] + _ADD[:, :rounds]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
@@ -91,6 +94,15 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return key.view("<i8")
 
 
+_CODES = (_mixed(np.arange(1, TABLES + 1, dtype="<u8")) >> np.uint64(32)) << np.uint64(32)
+
+
+def simprints(hashes: np.ndarray) -> np.ndarray:
+    """Fingerprints [TABLES] of a set: 32 bits of SimHash behind a code of the table. Codes differ in more than RADIUS bits, so
+    one tree serves all tables and links none across."""
+    return (_CODES | np.frombuffer(wide(hashes, TABLES // 2), "<u4")).view("<i8")
+
+
 def parity(hashes: np.ndarray) -> bytes:
     """PARITY bits: whether an odd number of the set's hashes falls on each. Two sets differ by at least as many hashes as bits."""
     return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
@@ -178,6 +190,18 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(sure, _PAIRS)
 
 
+def by_trees(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (row, size, prints) that the vantage-point trees over SimHashes find: of rows with one fingerprint
+    each with the first, and the first rows of fingerprints that the trees link; those whose sizes rule it out left out."""
+    each = common.stored(rows.select(F.explode("prints").alias("fp"), F.col("row").alias("node"), "size"), "prints")
+    first = common.stored(each.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x")), "first")
+    left, right = (first.select(F.col("fp").alias(c), F.col("x").alias(f"x_{c}")) for c in ("a", "b"))
+    across_ = links(first.select("fp"), RADIUS).join(left, "a").join(right, "b").select("x_a", "x_b")
+    within = each.join(first, "fp").where("node <> x.node").select(F.col("x").alias("x_a"), F.struct("node", "size").alias("x_b"))
+    fits = F.least("x_a.size", "x_b.size") >= F.lit(similarity) * F.greatest("x_a.size", "x_b.size") - 1e-9
+    return across_.unionByName(within).where(fits).where("x_a.node <> x_b.node").select(F.col("x_a.node").alias("a"), F.col("x_b.node").alias("b"))
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n (code points of the text) and component_id, the smallest doc_id of the group, of each row; and the row's
     number and its group's (row, root)."""
@@ -199,11 +223,12 @@ def _similar(docs: DataFrame, row: str, doc_id: str, text: str, words: int, simi
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[:3], pa.array([len(f) for f in found], pa.int64()), pa.array([minima(f) for f in found], pa.list_(pa.int64())),
                 pa.array([parity(f) for f in found], pa.binary()), pa.array([xxh128_digest(f.tobytes()) for f in found], pa.binary()),
-            ], names=["row", "doc_id", "n", "size", "keys", "bits", "mark"])
+                pa.array([simprints(f) for f in found], pa.list_(pa.int64())),
+            ], names=["row", "doc_id", "n", "size", "keys", "bits", "mark", "prints"])
 
     texts = docs.select(F.col(row).alias("row"), common.utf8(text).alias("body"))
     rows = docs.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"), common.utf8(text).alias("body"))
-    rows = common.stored(rows.mapInArrow(prints, "row long, doc_id long, n long, size long, keys array<long>, bits binary, mark binary"), "sets")
+    rows = common.stored(rows.mapInArrow(prints, "row long, doc_id long, n long, size long, keys array<long>, bits binary, mark binary, prints array<long>"), "sets")
 
     def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (keys, node, size) of a task with different sets, and pairs (a, b) of those with equal ones."""
@@ -243,7 +268,8 @@ def _similar(docs: DataFrame, row: str, doc_id: str, text: str, words: int, simi
     sent = local.where("node is not null").select(F.explode("keys").alias("key"), "node", "size").repartition("key").sortWithinPartitions("key", "node")
     shared = common.stored(sent.mapInArrow(behind, "key long, node long, size long, first long, first_size long"), "shared")
     fits = F.least("size", "first_size") >= F.lit(similarity) * F.greatest("size", "first_size") - 1e-9
-    stars = common.stored(_ordered(shared.where((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("a"), F.col("node").alias("b"))), "stars")
+    stars = shared.where((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    stars = common.stored(_ordered(stars.unionByName(by_trees(rows, similarity))), "stars")
     found = common.stored(_ordered(verified(texts, stars, words, similarity).unionByName(equal)), "found")
     linked = common.stored(components(found), "linked")
 

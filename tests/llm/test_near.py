@@ -161,3 +161,15 @@ def test_numbers_are_found_with_and_without_the_bitmap(spark, monkeypatch):
         monkeypatch.setattr(common, "BITMAPS", most)
         got = common.among(rows, "n", wanted)
         assert got.columns == rows.columns and got.agg(F.count(F.lit(1)), F.sum("_bucket")).first() == (66_667, sum(range(0, 200_000, 3)))
+
+
+def test_the_trees_over_simhashes_find_near_copies(spark):
+    r = random.Random(9)
+    base = [[f"v{r.randrange(10**9)}" for _ in range(300)] for _ in range(100)]
+    texts = [" ".join(t) for b in base for t in (b, edited(r, b, 1))]
+    sets = [near.shingles(t.encode(), 5) for t in texts]
+    rows = spark.createDataFrame([(k, len(x), near.simprints(x).tolist()) for k, x in enumerate(sets)], "row long, size long, prints array<long>")
+    got = {tuple(sorted((p["a"], p["b"]))) for p in near.by_trees(rows, 0.8).collect()}
+    assert sum((2 * k, 2 * k + 1) in got for k in range(100)) >= 98 and len(got) < 120
+    codes = [int(c) for c in near._CODES]
+    assert all((a ^ b).bit_count() > near.RADIUS for i, a in enumerate(codes) for b in codes[:i])
