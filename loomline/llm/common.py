@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship  # noqa: F401  the operators take it from here
 
 BITMAPS = 16_384  # of 4 KiB, that may be broadcast
+BATCH = 1_000  # rows that a Python worker gets at once, where texts go along with other models in memory
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +56,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers at most BATCH rows at once, or fewer where it is set so. A batch is held a few
+    times over by the JVM and by the worker; Spark's 10,000 whole texts take hundreds of MB of an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:  # 0: no bound
+        spark.conf.set(key, str(BATCH))
+
+
 _resident: tuple[str, object] | None = None
 
 
@@ -68,14 +77,14 @@ def resident(key: str, make):
 
 
 def vacate() -> None:
-    """Let the worker's model go, and give what it took back to the system: a worker lives on from stage to stage."""
+    """Let the worker's model go, and give what it and earlier tasks took back to the system: a worker lives on from stage to
+    stage, and tasks without a model leave freed memory behind too."""
     global _resident
-    if _resident is not None:
-        _resident = None
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+    _resident = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Recent:

@@ -177,6 +177,7 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     texts = common.among(rows.select("row", "body"), "row", pairs.select(F.explode(F.array("a", "b")).alias("row")))
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.vacate()
         last = None
         for batch in batches:
             a, keep = batch.column(0).to_pylist(), []

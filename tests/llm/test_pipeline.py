@@ -109,3 +109,31 @@ def test_stages_are_empty_for_an_empty_table(spark, kept):
     docs = kept[0].where("doc_id < 0")
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_workers_of_a_stage_get_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    def largest():
+        got = [r["n"] for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 2500
+        return max(got)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    none = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
+    try:
+        for _, stage in pipeline.STAGES:
+            spark.conf.set(key, "10000")
+            stage(spark, none, SF)
+            assert largest() == common.BATCH
+        for held, most in (("0", common.BATCH), ("7", 7)):  # no bound, and a lower one of the user
+            spark.conf.set(key, held)
+            common.small_batches(spark)
+            assert largest() == most
+    finally:
+        spark.conf.set(key, before)
