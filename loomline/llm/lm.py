@@ -33,7 +33,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,7 @@ SHARD, SHARDS = 4_000_000, 256  # positions that a replica should learn from, an
 ENOUGH, ROUNDS = 4_000_000, 8  # positions to learn from: smaller tables are gone through more often, at most so many times
 AT_ONCE = 60_000  # words that are put in a row together
 PASS = 512  # blocks of a forward pass, whose arrays stay in a core's cache
+TEXTS = 128  # texts whose word endings are counted together
 SAFE = 30  # numbers up to this size have exponentials and sums of them that floats hold well
 CACHE = 150_000
 FLUSH = 300_000
@@ -259,6 +260,7 @@ class Words:
             self.flat, self.starts, self.names = array("i", [ROWS, ROWS + 1, ROWS + 2]), array("q", [0, 1, 2, 3]), [b"", b"", b""]
             self.classes = array("i", [-1, -1, 0])
             self.add(frequent)
+            self.library.keep()  # many other words are these with another case or tail
             self.kept = dict(self.place)
             return
         self.place = dict(self.kept)
@@ -282,17 +284,20 @@ class Words:
         if new:
             self.add(list(new))
 
-    def learned(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The numbers of the words of texts, given to those that have none."""
-        out = [np.fromiter(map(self.place.get, t, repeat(-1)), np.int64, len(t)) for t in texts]
-        missing = [np.nonzero(x < 0)[0].tolist() for x in out]
-        new = {t[i] for t, m in zip(texts, missing) for i in m}
-        if new:
-            self.add(list(new))
-            for x, t, m in zip(out, texts, missing):
-                x[m] = [self.place[t[i]] for i in m]
+    def learned(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of the words of texts, one text after the other, given to those that have none."""
+        found = list(chain.from_iterable(texts))
+        out = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
+        missing = np.nonzero(out < 0)[0]
+        if len(missing):
+            words = [found[i] for i in missing.tolist()]
+            self.add(list(dict.fromkeys(words)))
+            out[missing] = self.numbers(words)
         return out
 
+    def classes_of(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.classes, np.intc)[numbers]  # the view is gone when this returns
+
     def numbers(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
 
@@ -373,6 +378,13 @@ def stepped(w: dict[str, np.ndarray], step: np.ndarray, share: float) -> dict[st
     return w | {"u": (w["u"] + share * step[:-1]).astype("f4"), "b": (w["b"] + share * step[-1]).astype("f4")}
 
 
+def cells(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary cells of an array: the numbers between each two of ends."""
+    if ends[-1] * data.itemsize > 2**31 - 1:
+        raise ValueError("a text is too long for an Arrow batch")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype("<i4")), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class Lines:
     """Texts that were turned into numbers, laid end to end: frequent words have their numbers, a text's other words are -1,
     -2, ... in the order of its own lists."""
@@ -414,7 +426,7 @@ class Sequences(Lines):
     def __init__(self, w: dict[str, np.ndarray], flat: np.ndarray, starts: np.ndarray, classes: np.ndarray, cluster: np.ndarray):
         super().__init__(flat, starts, classes, cluster)
         self.w = w
-        self.vectors = self._means(self.flat, self.sizes)
+        self.vectors = self._means(self.flat, self.sizes)  # and behind them room for those of a group's other words
 
     def _means(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         starts = np.cumsum(sizes) - sizes
@@ -423,15 +435,17 @@ class Sequences(Lines):
     def parts(self, seq: pa.Array, kinds: pa.Array, sizes: pa.Array, pieces: pa.Array) -> Iterator[tuple]:
         """(first row, vectors, which is padding's opposite, class of each position but the first block's, owner)."""
         for first, into, label, owner, rows, n in self.groups(seq, kinds, sizes, pieces):
-            vectors = np.concatenate([self.vectors, self._means(rows, n)])
+            if self.fixed + len(n) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors[: self.fixed], np.zeros((2 * len(n), WIDTH), "f4")])
+            self.vectors[self.fixed : self.fixed + len(n)] = self._means(rows, n)
             for whole, own in cuts(len(into), PASS):
-                yield first, vectors[into[whole]], into[whole] != PAD, label[own], owner[own]
+                yield first, self.vectors[into[whole]], into[whole] != PAD, label[own], owner[own]
 
 
 def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of a, which of them each place holds, the order that sorts a, and where each value begins in it."""
-    order = np.argsort(a, kind="stable")
-    found = a[order]
+    both = np.sort(a.astype(np.int64) << 32 | np.arange(len(a)))  # several times as fast as a stable argsort; a is not negative
+    found, order = both >> 32, both & 0xFFFFFFFF
     new = np.concatenate([[True], found[1:] != found[:-1]])
     back = np.empty(len(a), np.int64)
     back[order] = np.cumsum(new) - 1
@@ -558,28 +572,32 @@ def scored(docs: DataFrame, tokenizer: str, learn_from, doc_id: str = "doc_id",
                 while first + len(texts) < batch.num_rows and (not texts or size < AT_ONCE):
                     texts.append(tokens(batch.column(3)[first + len(texts)].as_py()))
                     size += len(texts[-1]) + STRIDE
-                numbers = words.learned(texts)
-                all_buckets, out, held = np.array(words.classes), [], []
-                for found, learn in zip(numbers, batch.column(1).slice(first, len(texts)).to_pylist()):
-                    if learn and len(found):
-                        kinds, n_of = np.unique(all_buckets[found], return_counts=True)
-                        sums[kinds, 0] += n_of
-                        sums[kinds, 1:] += n_of[:, None] * (n_of @ signs[kinds] / len(found))
-                    often = found < fixed
-                    held.append((found, often, *np.unique(found[~often], return_inverse=True, return_counts=True)))
-                rows_of, begin, sizes = words.pieces(np.concatenate([h[2] for h in held])) if any(len(h[2]) for h in held) else (np.zeros(0, np.intc),) * 3
-                begin, at = np.append(begin, len(rows_of)), 0
-                for t, (found, often, some, back, m) in zip(texts, held):
-                    line = found.astype("<i4")
-                    line[~often] = -1 - back
-                    flat, each = rows_of[begin[at] : begin[at + len(some)]], sizes[at : at + len(some)]
-                    at += len(some)
-                    common_ = int(often.sum())
-                    out.append((
-                        len(t) + 1, common_ + (ends > 0), common_ + 1, float(logs[found[often]].sum() + logs[STOP]), line.tobytes(), all_buckets[some].astype("<u2").tobytes(),
-                        each.astype("<i4").tobytes(), flat.astype("<u2").tobytes(), [{"word": words.names[i], "m": j} for i, j in zip(some.tolist(), m.tolist())],
-                    ))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in (0, 1, 2)), *(pa.array(list(c), t) for c, t in zip(zip(*out), kinds_of)), pa.nulls(len(texts), pa.binary())], names=names)
+                found = words.learned(texts)
+                lens = np.fromiter(map(len, texts), np.int64, len(texts))
+                owner = np.repeat(np.arange(len(texts)), lens)
+                buckets, ends_of = words.classes_of(found), np.append(0, np.cumsum(lens))
+                learn = batch.column(1).slice(first, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
+                for a in range(0, len(texts), TEXTS):
+                    some, b = slice(ends_of[a], ends_of[min(a + TEXTS, len(texts))]), min(a + TEXTS, len(texts))
+                    n_of = np.bincount((owner[some] - a) * BUCKETS + buckets[some], minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS)
+                    n_of = n_of[learn[a:b]].astype("f4")
+                    sums[:, 0] += n_of.sum(0, dtype=float)
+                    sums[:, 1:] += n_of.T @ (n_of @ signs / np.maximum(lens[a:b][learn[a:b], None], 1).astype("f4"))
+                often = found < fixed
+                rare = np.nonzero(~often)[0]
+                both, back, m = np.unique(owner[rare] << 32 | found[rare], return_inverse=True, return_counts=True)
+                some, begin = both & 0xFFFFFFFF, np.searchsorted(both >> 32, np.arange(len(texts) + 1))  # each text's own in order
+                line = found.astype("<i4")
+                line[rare] = -1 - (back - begin[owner[rare]])
+                rows_of, _, sizes = words.pieces(some) if len(some) else (np.zeros(0, np.intc),) * 3
+                common_ = lens - np.bincount(owner[rare], minlength=len(texts))
+                value = np.bincount(owner[often], logs[found[often]], len(texts)) + logs[STOP]
+                names_of = pa.array([words.names[i] for i in some.tolist()], pa.binary())
+                columns = [
+                    *map(pa.array, (lens + 1, common_ + (ends > 0), common_ + 1, value)), cells(line, ends_of), cells(words.classes_of(some).astype("<u2"), begin), cells(sizes.astype("<i4"), begin),
+                    cells(rows_of.astype("<u2"), np.append(0, np.cumsum(sizes))[begin]), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.StructArray.from_arrays([names_of, pa.array(m, pa.int64())], fields=list(rare_type.value_type))),
+                ]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in (0, 1, 2)), *columns, pa.nulls(len(texts), pa.binary())], names=names)
                 first += len(texts)
                 if words.full:
                     words.reset()

@@ -216,8 +216,13 @@ class Library:
         self.letters = "".join(bpe.byte_letters())
         self.chunks = bpe.Remembered()
         self.cores: dict[bytes, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
         self.remember = remember
 
+    def keep(self) -> None:
+        """Remember the chunks known now for good, besides `remember` others."""
+        self.kept = dict(self.cores)
+
     def _pretoken(self, core: bytes) -> str | None:
         """The one pre-token of a core that is a run of letters, in byte letters; None for other cores."""
         text = core.decode("utf-8", "replace")
@@ -228,8 +233,9 @@ class Library:
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
         cores, tokenize, packed = self.cores, self.lib.model.tokenize, bpe.packed
-        if len(cores) + len(missing) > self.remember:
+        if len(cores) - len(self.kept) + len(missing) > self.remember:
             cores.clear()
+            cores.update(self.kept)
         parts, mixed, opened, pretoken = [], {}, self.open, self._pretoken
         for chunk in missing:
             low = chunk.lower()

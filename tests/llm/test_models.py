@@ -428,3 +428,24 @@ def test_the_mean_of_replicas_weighs_what_they_learned_from():
     assert np.allclose(got["u"], (81 * replicas[0].w["u"] + 10 * replicas[1].w["u"]) / 91, atol=1e-6)
     assert np.allclose(got["e"][8], replicas[0].w["e"][8], atol=1e-6) and not got["e"][20].any()
     assert np.allclose(got["e"][7], (replicas[0].w["e"][7] + replicas[1].w["e"][7]) / 2, atol=1e-6)
+
+
+def test_pieces_of_frequent_words_are_remembered_for_good():
+    words = lm.Words(open(vocabulary(TOKENIZER), "rb").read(), [b"the", b"house"], [b"the"], np.zeros(lm.BUCKETS, int))
+    words.library.remember = 2
+    for new in ([b"one", b"two", b"three"], [b"four", b"five", b"six"]):
+        words.learn([new])
+    assert {b"the", b"house"} <= set(words.library.cores) and b"one" not in words.library.cores
+    numbers = words.learned([[b"House,", b"the"], [], [b"four"]])
+    rows, begin, sizes = words.pieces(numbers)
+    assert len(numbers) == 3 and numbers[1] == 3 and [words.names[i] for i in numbers] == [b"House,", b"the", b"four"]
+    assert rows[: sizes[0]].tolist()[:1] == words.pieces(np.array([4]))[0].tolist()[:1]
+
+
+def test_values_in_order_and_cells():
+    a = np.random.default_rng(5).integers(0, 70_000, 500) % 90
+    found, back, order, begin = lm.runs(a)
+    assert (found[back] == a).all() and (order == np.argsort(a, kind="stable")).all() and (a[order][begin] == found).all()
+    got = lm.cells(np.arange(6, dtype="<u2"), np.array([0, 2, 2, 6]))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got.to_pylist()] == [[0, 1], [], [2, 3, 4, 5]]
+    assert lm.cells(np.zeros(0, "<i4"), np.array([0, 0])).to_pylist() == [b""]
